@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlgate.functions.normalize import day_text, digits_of_number, effective_day, index_code, market_code, real_day, trimmed
+from marlgate.functions.normalize import day_text, digits_of_number, effective_day, index_code, market_code, real_day, texts, trimmed
 from marlgate.operators.snapshots import index_snapshots
 
 
@@ -111,7 +111,7 @@ def search_reports(events: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
             entity.append(code)
             days.append(day)
             refs.append(str(found))
-    return pd.DataFrame({"ts_code": entity, "day": days, "ref": refs})
+    return pd.DataFrame({"ts_code": texts(entity), "day": texts(days), "ref": texts(refs)})
 
 
 def search_members(events: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -134,7 +134,7 @@ def search_members(events: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             codes.append(code)
             days.append(day)
             refs.append(tree.versions[at])
-    return pd.DataFrame({"series": index, "ts_code": codes, "day": days, "ref": refs})
+    return pd.DataFrame({"series": texts(index), "ts_code": texts(codes), "day": texts(days), "ref": texts(refs)})
 
 
 def position_events(positions: DataFrame) -> DataFrame:
