@@ -48,7 +48,7 @@ def scalar_column(term: Term, args: list[Column], fields: Callable[[str], Column
         "eq": lambda a, b: F.coalesce(a == b, F.lit(False)), "ne": lambda a, b: F.coalesce(a != b, F.lit(True)),
         "and": lambda a, b: a & b, "or": lambda a, b: a | b, "not": lambda a: ~a, "truth": lambda a: F.coalesce(a != 0, F.lit(True)),
         "present": lambda a: a.isNotNull(), "num": lambda a: a.cast("double"), "if": lambda c, a, b: F.when(c, a).otherwise(b),
-        "ln": lambda a: F.when(a > 0, F.log(a)), "angle": lambda a: F.degrees(F.atan(a)), "half_even": lambda a: F.bround(a, p[0]).cast("double"),
+        "ln": lambda a: F.when(a > 0, F.log(a)), "angle": lambda a: F.degrees(F.atan(a)), "half_even": lambda a: F.rint(a * 10.0 ** p[0]) / 10.0 ** p[0],
         # a power without a real value, and one of zero to below zero, is missing
         "pow": lambda a, b: F.when(~((a < 0) & (b != F.floor(b))) & ~((a == 0) & (b < 0)), F.pow(a, b)),
     }

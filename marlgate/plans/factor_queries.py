@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlgate.plans.compiler import dense_panel, evaluate
-from marlgate.plans.sqltext import sql_of
+from marlgate.plans.sqltext import HALF, steps_of
 from marlgate.sources.testbed import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +80,7 @@ panel AS (SELECT a.asset, c.session, c.session_idx, open, high, low, close, volu
 
 
 def _run(expression: str) -> Query:
-    return lambda spark, folder: evaluate(monthly_panel(spark, folder), {"value": expression}).select("asset", "session", F.round("value", 4).alias("value"))
+    return lambda spark, folder: evaluate(monthly_panel(spark, folder), {"value": expression}).select("asset", "session", (F.floor(F.col("value") * 10000 + HALF) / 10000.0).alias("value"))
 
 
 def _all() -> dict[str, str]:
@@ -96,7 +96,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     out = {"panel_bars": f"WITH {PANEL_SQL} SELECT asset, session, session_idx, {', '.join(VALUES)} FROM panel"}
     for name, e in _all().items():
-        text = sql_of({"value": e}, "panel", 4)
-        if text:
-            out[name] = f"WITH {PANEL_SQL}{', ' if text.startswith('s0 AS') else ' '}{text}"
+        made = steps_of({"value": e}, "panel", 4)
+        if made:
+            out[name] = f"WITH {', '.join([PANEL_SQL, *made[0]])} SELECT asset, session, value FROM ({made[1]})"
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from marlgate.plans.algebra import SCALAR, SECTION, Term, number, post_order
 from marlgate.plans.parser import parse
 
+HALF = 0.500031  # rounding by floor, off the exact half: prices in cents a piece often end there, and engines break ties apart
 WINDOW = "PARTITION BY asset ORDER BY session_idx"
 
 
@@ -68,8 +69,9 @@ def _window(term: Term, a: list[str]) -> str:
     return f"CASE WHEN {full} THEN {made} END"
 
 
-def sql_of(expressions: dict[str, str], panel: str, digits: int | None = None) -> str | None:
-    """A query over a relation ``panel`` (asset, session, session_idx, fields), or None where a term is recursive."""
+def steps_of(expressions: dict[str, str], panel: str, digits: int | None = None) -> tuple[list[str], str] | None:
+    """Common table expressions and the last SELECT over a relation ``panel`` (asset, session, session_idx, fields), or
+    None where a term is recursive."""
     roots = {name: number(parse(e)) for name, e in expressions.items()}
     order = post_order(list(roots.values()))
     if any(t.kind == "recursive" for t in order):
@@ -93,5 +95,5 @@ def sql_of(expressions: dict[str, str], panel: str, digits: int | None = None) -
             names[t] = f"w{len(steps) - 1}_{k}"
         at = f"s{len(steps) - 1}"
         waiting = [t for t in waiting if t not in names]
-    shown = lambda t: f"CASE WHEN isfinite({text(t)}) THEN {text(t) if digits is None else f'round({text(t)}, {digits})'} END"
-    return ", ".join(steps) + (" " if steps else "") + "SELECT asset, session, " + ", ".join(f"{shown(t)} AS {n}" for n, t in roots.items()) + f" FROM {at}"
+    shown = lambda t: f"CASE WHEN isfinite({text(t)}) THEN {text(t) if digits is None else f'floor({text(t)} * {10**digits} + {HALF!r}) / {10**digits}'} END"
+    return steps, "SELECT asset, session, session_idx, " + ", ".join(f"{shown(t)} AS {n}" for n, t in roots.items()) + f" FROM {at}"
