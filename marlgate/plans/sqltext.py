@@ -1,8 +1,8 @@
-"""Terms to SQL text for an independent engine, to check the compiled columns. Recursive terms have no SQL here."""
+"""Terms to SQL text for an independent engine, to check the compiled columns."""
 
 from __future__ import annotations
 
-from marlgate.plans.algebra import SCALAR, SECTION, Term, number, post_order
+from marlgate.plans.algebra import RECURSIVE, SCALAR, SECTION, Term, number, post_order
 from marlgate.plans.parser import parse
 
 HALF = 0.500031  # rounding by floor, off the exact half: prices in cents a piece often end there, and engines break ties apart
@@ -25,6 +25,20 @@ def _scalar(term: Term, a: list[str]) -> str:
     }[term.op]()
 
 
+def _fold(term: Term, a: list[str], upto: str) -> str:
+    """Recursive terms as folds over the list of all values so far."""
+    if term.op == "ewm":
+        alpha, least = term.params
+        kept = f"pow({1 - alpha!r}, s.g + 1)"
+        step = f"CASE WHEN s.y IS NULL THEN e WHEN e.y IS NULL THEN struct_pack(y := s.y, g := s.g + 1) ELSE struct_pack(y := ({kept} * s.y + {alpha!r} * e.y) / ({kept} + {alpha!r}), g := CAST(0 AS DOUBLE)) END"
+        return f"CASE WHEN count({a[0]}) OVER {upto} >= {max(1, least)} THEN (list_reduce(list(struct_pack(y := {a[0]}, g := CAST(0 AS DOUBLE))) OVER {upto}, lambda s, e: {step})).y END"
+    if term.op == "dma":
+        step = "struct_pack(o := e.w * e.x + (1 - e.w) * s.o, x := e.x, w := e.w)"
+    else:
+        step = "struct_pack(o := coalesce(s.o, s.x) + e.w * (e.x - coalesce(s.o, s.x)), x := e.x, w := e.w)"
+    return f"(list_reduce(list(struct_pack(o := {a[0]}, x := {a[0]}, w := {a[1]})) OVER {upto}, lambda s, e: {step})).o"
+
+
 def _window(term: Term, a: list[str]) -> str:
     op, p = term.op, term.params
     upto = f"({WINDOW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -36,6 +50,8 @@ def _window(term: Term, a: list[str]) -> str:
         return f"CASE WHEN {a[0]} IS NOT NULL THEN sum({a[0]}) OVER {upto} END"
     if op == "last_true":
         return f"CAST(max(CASE WHEN {a[0]} > 0 THEN session_idx END) OVER {upto} AS DOUBLE)"
+    if term.kind == RECURSIVE:
+        return _fold(term, a, upto)
     if op == "final":
         return f"last_value({a[0]}) OVER ({WINDOW} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     if op == "x_rank":
@@ -69,13 +85,10 @@ def _window(term: Term, a: list[str]) -> str:
     return f"CASE WHEN {full} THEN {made} END"
 
 
-def steps_of(expressions: dict[str, str], panel: str, digits: int | None = None) -> tuple[list[str], str] | None:
-    """Common table expressions and the last SELECT over a relation ``panel`` (asset, session, session_idx, fields), or
-    None where a term is recursive."""
+def steps_of(expressions: dict[str, str], panel: str, digits: int | None = None) -> tuple[list[str], str]:
+    """Common table expressions and the last SELECT over a relation ``panel`` (asset, session, session_idx, fields)."""
     roots = {name: number(parse(e)) for name, e in expressions.items()}
     order = post_order(list(roots.values()))
-    if any(t.kind == "recursive" for t in order):
-        return None
     names: dict[Term, str] = {}
 
     def text(term: Term) -> str:
