@@ -5,7 +5,8 @@ The saved tree covers what the last successful runs processed, the current tree
 aggregate gives both. Comparing descends only where digests differ; rows are read again and shuffled only for the leaves
 that changed. A run's output and its tree are published together, by one rename of a pointer.
 
-Defined results. Rows whose key can't be read are left out. Two nulls are equal. A run counts with the status it logged
+Defined results. Rows whose key can't be read are left out. Two nulls are equal. Of a row repeated
+under one id with other values the greater ones count. A run counts with the status it logged
 last (of lines logged at one instant: 'succeeded' only if all say so). An empty table gives no rows and a tree without
 leaves. A row without a load number belongs to no run. The number of leaves is bounded by days times ``buckets``, not by rows.
 """
@@ -103,8 +104,8 @@ def new_or_changed(table: DataFrame, runs: DataFrame, dataset: Dataset) -> DataF
     rows = dataset.prepared(table).join(done, "load_id", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
     leaves = changed_leaves(leaf_digests(rows, "covered"))
     touched = rows.join(leaves, ["range", "leaf"], "left_semi")
-    order = F.struct("load_id", "row_id")
-    content = F.struct(*[F.col(c) for c in touched.columns if c.startswith("c_")])
+    compared = [F.col(c) for c in touched.columns if c.startswith("c_")]
+    content, order = F.struct(*compared), F.struct("load_id", "row_id", *compared)
     whole = F.struct("row_id", "load_id", "covered", content.alias("content"))
     records = touched.groupBy(*dataset.keys).agg(
         F.max_by(whole, order).alias("now"), F.max_by(F.when(F.col("covered"), content), F.when(F.col("covered"), order)).alias("before")

@@ -8,8 +8,9 @@ Neither side of a group is unbounded: facts are first reduced to one for each (e
 for each (entity, day), so a group holds days, not rows, and the join back to the events spreads over entity and day.
 Memberships are sharded by the hash of the member.
 
-Defined results. Rows whose code or day can't be read are left out. A fact without a known day is never known. A fact known
-on the event's own day isn't used. Nothing found gives no row. Ties follow the stated order down to the lowest row id.
+Defined results. Rows whose code or day can't be read, and events without an id, are left out. A fact without a known day is never known. A fact known
+on the event's own day isn't used. Nothing found gives no row; a position
+repeated under one id is answered once. Ties follow the stated order down to the lowest row id.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def position_events(positions: DataFrame) -> DataFrame:
     """position_id, ts_code, series (index), day (text) of readable POSITION rows."""
     return positions.where(F.upper(trimmed("record_type")) == "POSITION").select(
         "position_id", market_code("ts_code").alias("ts_code"), index_code("index_code").alias("series"), day_text(real_day("trade_date")).alias("day")
-    ).where(F.col("ts_code").isNotNull() & F.col("day").isNotNull())
+    ).where(F.col("position_id").isNotNull() & F.col("ts_code").isNotNull() & F.col("day").isNotNull())
 
 
 def reports_known(positions: DataFrame, income: DataFrame) -> DataFrame:
@@ -156,7 +157,7 @@ def reports_known(positions: DataFrame, income: DataFrame) -> DataFrame:
     events = position_events(positions)
     days = events.select("ts_code", "day").distinct()
     found = days.groupBy("ts_code").cogroup(best.groupBy("ts_code")).applyInPandas(search_reports, "ts_code string, day string, ref string")
-    return events.join(found, ["ts_code", "day"]).select("position_id", "ref")
+    return events.join(found, ["ts_code", "day"]).select("position_id", "ref").distinct()
 
 
 def memberships_known(positions: DataFrame, index_weight: DataFrame, shards: int = 8) -> DataFrame:
@@ -169,7 +170,7 @@ def memberships_known(positions: DataFrame, index_weight: DataFrame, shards: int
     named = members.select("series", "snapshot").distinct().select("series", "snapshot", F.lit(None).cast("string").alias("item"), every)
     rows = members.select("series", "snapshot", "item", shard("item")).unionByName(named)
     found = days.groupBy("series", "shard").cogroup(rows.groupBy("series", "shard")).applyInPandas(search_members, "series string, ts_code string, day string, ref string")
-    return events.join(found, ["series", "ts_code", "day"]).select("position_id", "ref")
+    return events.join(found, ["series", "ts_code", "day"]).select("position_id", "ref").distinct()
 
 
 def known_at_trade(positions: DataFrame, income: DataFrame, index_weight: DataFrame) -> DataFrame:

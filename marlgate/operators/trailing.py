@@ -8,7 +8,7 @@ Rows are reduced to one a record before they meet by stock, so a stock that hold
 row a calendar day when it is sorted.
 
 Defined results. Rows whose code or day can't be read are left out. Of a record's rows the one with the highest load_id,
-then row_id counts. Null or negative volume is zero; a null or non-positive close is no observation. Days before the first
+then row_id counts (of a row repeated with other values the greater ones). Null or negative volume is zero; a null or non-positive close is no observation. Days before the first
 are empty. An average is over the days with an observation, null without any. An empty table gives no rows.
 """
 
@@ -26,8 +26,7 @@ def latest_bars(stock_daily: DataFrame) -> DataFrame:
         market_code("ts_code").alias("ts_code"), real_day("trade_date").alias("day"), as_number("close").alias("close"), as_number("volume").alias("volume"),
         "load_id", "row_id",
     ).where(F.col("ts_code").isNotNull() & F.col("day").isNotNull())
-    order = F.struct("load_id", "row_id")
-    best = rows.groupBy("ts_code", "day").agg(F.max_by(F.struct("close", "volume"), order).alias("x"))
+    best = rows.groupBy("ts_code", "day").agg(F.max(F.struct("load_id", "row_id", "close", "volume")).alias("x"))
     return best.select("ts_code", "day", "x.close", "x.volume")
 
 
@@ -80,8 +79,8 @@ def stock_trailing(stock_daily: DataFrame, windows: tuple[int, ...] = (7, 30)) -
     out = trailing_sums(dense_days(values, "ts_code", "day", names), "ts_code", "cal_day", names, list(windows))
     columns = []
     for n in windows:
-        columns += [F.round(f"volume_{n}d", 2).alias(f"volume_total_{n}"), F.round(F.try_divide(f"volume_{n}d", f"volume_days_{n}d"), 7).alias(f"volume_average_{n}")]
-        columns += [F.round(f"close_{n}d", 4).alias(f"close_total_{n}"), F.round(F.try_divide(f"close_{n}d", f"close_days_{n}d"), 7).alias(f"close_average_{n}")]
+        columns += [F.round(f"volume_{n}d", 2).alias(f"volume_total_{n}"), F.round(F.try_divide(f"volume_{n}d", f"volume_days_{n}d"), 6).alias(f"volume_average_{n}")]
+        columns += [F.round(f"close_{n}d", 4).alias(f"close_total_{n}"), F.round(F.try_divide(f"close_{n}d", f"close_days_{n}d"), 6).alias(f"close_average_{n}")]
     return out.select("ts_code", day_text(F.col("cal_day")).alias("cal_day"), *columns)
 
 

@@ -8,7 +8,8 @@ own prices contradict it.
 The automaton only sees texts that hold more than a plain number: plain numbers are read by JVM expressions.
 
 Defined results. Null, empty and numberless text ("N/A", "--") give a null number and no power. Zero has a power but is
-no case. An unknown unit leaves the figure as unlabelled. Repeated rows are judged row by row. Extra columns are kept.
+no case. An unknown unit leaves the figure as unlabelled; where no unit is stated for
+a feed and day nothing differs from it. Repeated rows are judged row by row. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -266,7 +267,7 @@ def figures_with_powers(daily: DataFrame, stock_daily: DataFrame, feed_units: Da
 def unit_cases(daily: DataFrame, stock_daily: DataFrame, feed_units: DataFrame) -> DataFrame:
     """src_table, row_id, field_name, pow10: figures whose unit differs in scale from the stated one."""
     return figures_with_powers(daily, stock_daily, feed_units).where(
-        (F.col("number") != 0) & F.col("pow10").isNotNull() & (F.col("pow10") != F.coalesce("stated", F.lit(-99)))
+        (F.col("number") != 0) & (F.col("pow10") != F.col("stated"))
     ).select("src_table", "row_id", "field_name", "pow10")
 
 

@@ -149,18 +149,18 @@ c AS (SELECT index_code, snapshot_date, con_code, CASE WHEN min(now) = 1 THEN 'a
 
 
 def _increment(name: str, keys: str, compared: list[str], outs: str) -> str:
-    same = " AND ".join(f"b.{c} IS NOT DISTINCT FROM n.{c}" for c in compared)
     key_names = [k.rpartition(" AS ")[2] for k in keys.split(";")]
     readable = " AND ".join(f"{k} IS NOT NULL" for k in key_names[:2])
     partition, using = ", ".join(key_names), ", ".join(key_names)
     select = ", ".join(keys.split(";"))
     cols = ", ".join(f"{c} AS c_{c}" for c in compared)
+    last = ", ".join(["load_id DESC", "row_id DESC", *[f"c_{c} DESC NULLS LAST" for c in compared]])
     same = " AND ".join(f"b.c_{c} IS NOT DISTINCT FROM n.c_{c}" for c in compared)
     return f"""(WITH last AS (SELECT * FROM update_runs WHERE dataset = '{name}' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY logged_at DESC) = 1),
 done AS (SELECT DISTINCT unnest(range(from_load, to_load + 1)) AS load_id FROM last WHERE status = 'succeeded'),
 r AS (SELECT row_id, load_id, {select}, {cols}, load_id IN (SELECT load_id FROM done) AS covered FROM {name}),
-n AS (SELECT * FROM r WHERE {readable} QUALIFY row_number() OVER (PARTITION BY {partition} ORDER BY load_id DESC, row_id DESC) = 1),
-b AS (SELECT * FROM r WHERE covered AND {readable} QUALIFY row_number() OVER (PARTITION BY {partition} ORDER BY load_id DESC, row_id DESC) = 1)
+n AS (SELECT * FROM r WHERE {readable} QUALIFY row_number() OVER (PARTITION BY {partition} ORDER BY {last}) = 1),
+b AS (SELECT * FROM r WHERE covered AND {readable} QUALIFY row_number() OVER (PARTITION BY {partition} ORDER BY {last}) = 1)
 SELECT '{name}' AS dataset, n.row_id{outs} FROM n LEFT JOIN b USING ({using}) WHERE NOT n.covered AND (b.row_id IS NULL OR NOT ({same})))"""
 
 
@@ -168,7 +168,7 @@ _BAR_FIGURES = ["open", "high", "low", "close", "pre_close", "volume", "turnover
 _REPORT_FIGURES = list(survivorship.FIGURES)
 _LATEST = f"""latest AS (SELECT {_code("ts_code")} AS ts_code, CAST(try_strptime({_day("trade_date")}, '%Y%m%d') AS DATE) AS d, close, volume, load_id, row_id FROM stock_daily
   WHERE ({_code("ts_code")}) IS NOT NULL AND ({_day("trade_date")}) IS NOT NULL),
-bars AS (SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY ts_code, d ORDER BY load_id DESC, row_id DESC) = 1),
+bars AS (SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY ts_code, d ORDER BY load_id DESC, row_id DESC, close DESC NULLS LAST, volume DESC NULLS LAST) = 1),
 spans AS (SELECT ts_code, min(d) AS a, max(d) AS b FROM bars GROUP BY 1),
 days AS (SELECT ts_code, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM spans),
 dense AS (SELECT ts_code, d, CASE WHEN volume >= 0 THEN volume ELSE 0 END AS v, CASE WHEN volume >= 0 THEN 1 ELSE 0 END AS vn, CASE WHEN close > 0 THEN close ELSE 0 END AS c, CASE WHEN close > 0 THEN 1 ELSE 0 END AS cn
@@ -217,8 +217,8 @@ def oracle_sql() -> dict[str, str]:
     more = lambda day: f", n.load_id, n.ts_code, n.{day} AS range_day"
     frame = lambda n: f"(PARTITION BY ts_code ORDER BY d ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     trail = ", ".join(
-        f"round(sum(v) OVER {frame(n)}, 2) AS volume_total_{n}, round(sum(v) OVER {frame(n)} / nullif(sum(vn) OVER {frame(n)}, 0), 7) AS volume_average_{n}, "
-        f"round(sum(c) OVER {frame(n)}, 4) AS close_total_{n}, round(sum(c) OVER {frame(n)} / nullif(sum(cn) OVER {frame(n)}, 0), 7) AS close_average_{n}" for n in (7, 30)
+        f"round(sum(v) OVER {frame(n)}, 2) AS volume_total_{n}, round(sum(v) OVER {frame(n)} / nullif(sum(vn) OVER {frame(n)}, 0), 6) AS volume_average_{n}, "
+        f"round(sum(c) OVER {frame(n)}, 4) AS close_total_{n}, round(sum(c) OVER {frame(n)} / nullif(sum(cn) OVER {frame(n)}, 0), 6) AS close_average_{n}" for n in (7, 30)
     )
     profile_columns = {
         "stock_daily": ["row_id", "trade_date", "ts_code", *_BAR_FIGURES, "load_id", "loaded_at"],
@@ -241,7 +241,7 @@ def oracle_sql() -> dict[str, str]:
         "SELECT ts_code, strftime(d, '%Y%m%d') AS cal_day, CAST(7 AS INT) AS window_days FROM w WHERE s7 = 0 UNION ALL SELECT ts_code, strftime(d, '%Y%m%d'), CAST(30 AS INT) FROM w WHERE s30 = 0",
         "p5_trailing": f"WITH {_LATEST} SELECT ts_code, strftime(d, '%Y%m%d') AS cal_day, {trail} FROM dense",
         "p6_found": _SNAPSHOTS.rstrip() + f""", {_reports()},
-p AS (SELECT position_id, {_code("ts_code")} AS ts_code, {_index("index_code")} AS index_code, {_day("trade_date")} AS day FROM positions WHERE upper(trim(record_type)) = 'POSITION'),
+p AS (SELECT position_id, {_code("ts_code")} AS ts_code, {_index("index_code")} AS index_code, {_day("trade_date")} AS day FROM positions WHERE upper(trim(record_type)) = 'POSITION' AND position_id IS NOT NULL),
 inc AS (SELECT position_id, row_id FROM p JOIN reports r ON r.ts_code = p.ts_code AND r.report_type = '1' AND r.known < p.day AND r.end_date <= p.day
   QUALIFY row_number() OVER (PARTITION BY position_id ORDER BY r.end_date DESC, known DESC, updated DESC, source_order DESC, row_id) = 1),
 snap AS (SELECT position_id, p.ts_code, p.index_code, max(snapshot_date) AS snapshot_date FROM p JOIN (SELECT DISTINCT index_code, snapshot_date FROM w) s ON s.index_code = p.index_code AND s.snapshot_date < p.day WHERE p.ts_code IS NOT NULL GROUP BY ALL)
