@@ -20,7 +20,7 @@ def pearson(x: Column, y: Column, least: int = 2) -> Column:
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
     made = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return F.when(F.count(a) >= least, F.least(F.greatest(made, F.lit(-1.0)), F.lit(1.0)))
+    return F.when((F.count(a) >= least) & made.isNotNull(), F.least(F.greatest(made, F.lit(-1.0)), F.lit(1.0)))
 
 
 def percent_rank(df: DataFrame, value: str, out: str, by: str = "session") -> DataFrame:
