@@ -9,7 +9,8 @@ The automaton only sees texts that hold more than a plain number: plain numbers
 
 Defined results. Null, empty and numberless text ("N/A", "--") give a null number and no power. Zero has a power but is
 no case. An unknown unit leaves the figure as unlabelled; where no unit is stated for
-a feed and day nothing differs from it. Repeated rows are judged row by row. Extra columns are kept.
+a feed and day nothing differs from it. Repeated rows are judged row by row. Of periods
+that overlap in feed_units the one that began last holds. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlgate.functions.normalize import as_number, real_day, trimmed
+from marlgate.session import small
 
 # Customary unit aliases by field kind, with the power of ten to shares or yuan.
 VOLUME_UNITS = {
@@ -206,12 +208,14 @@ def resolve_feed_units(daily: DataFrame, feed_units: DataFrame, customary: Custo
     read = read_figures(base, {"vol": ("volume", "vol", "vol_unit"), "amount": ("money", "amount", "amount_unit")})
     stated = stated_powers(feed_units)
     for field in ("vol", "amount"):
-        side = stated.where(F.col("s_field") == field).drop("s_field").withColumnRenamed("s_pow", f"{field}_says")
-        read = read.join(
-            F.broadcast(side),
-            (F.col("feed") == F.col("s_feed")) & (F.col("asset_type") == F.col("s_asset")) & (F.col("day") >= F.col("s_from")) & (F.col("day") < F.col("s_until")),
-            "left",
-        ).drop("s_feed", "s_asset", "s_from", "s_until")
+        # the periods of a feed's field as one array: a figure meets one stated unit, however often it is stated
+        periods = stated.where(F.col("s_field") == field).groupBy("s_feed", "s_asset").agg(
+            F.sort_array(F.collect_list(F.struct("s_from", "s_until", "s_pow")), asc=False).alias("periods")
+        )
+        valid = F.filter("periods", lambda p: (p["s_from"] <= F.col("day")) & (F.col("day") < p["s_until"]))
+        read = read.join(small(periods), (F.col("feed") == F.col("s_feed")) & (F.col("asset_type") == F.col("s_asset")), "left").withColumn(
+            f"{field}_says", F.get(valid, 0)["s_pow"]
+        ).drop("s_feed", "s_asset", "periods")
     v, a = F.coalesce("vol_pow", "vol_says"), F.coalesce("amount_pow", "amount_says")
     # money over volume times price is ten to the off-th: either the volume's power rises by it, or the money's falls by it
     k = F.when(F.col("asset_type") != "index", off_by(F.col("amount_number"), F.col("vol_number"), F.col("price")) + a - v)

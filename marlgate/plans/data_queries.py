@@ -105,20 +105,25 @@ def _figures() -> str:
 {field}_units AS (SELECT DISTINCT trim(lower({field}_unit)) AS u FROM daily WHERE {field}_unit IS NOT NULL),
 {field}_unit_pow AS (SELECT u, p AS unit_pow FROM {field}_units JOIN alias ON kind = '{kind}' AND a = u),
 {field}_best AS (SELECT t, max_by(a, length(a)) AS a, max_by(p, length(a)) AS text_pow FROM {field}_texts JOIN alias ON kind = '{kind}' AND (starts_with(t, a || ' ') OR ends_with(t, a))
+  AND NOT (regexp_matches(a, '^[0-9]') AND regexp_matches(left(t, length(t) - length(a)), '[0-9.,]$'))
   WHERE NOT regexp_full_match(t, '{number}') GROUP BY t),
 {field}_read AS (SELECT x.t, text_pow, try_cast(replace(regexp_extract(CASE WHEN a IS NULL THEN x.t ELSE replace(x.t, a, ' ') END, '{number}'), ',', '') AS DOUBLE) AS number
   FROM {field}_texts x LEFT JOIN {field}_best b ON x.t = b.t)"""
 
+    def says(field: str) -> str:
+        return (
+            f"(SELECT p FROM stated s WHERE s.feed = d.feed AND s.asset_type = d.asset_type AND s.field_name = '{field}' AND d.trade_date >= coalesce(s.valid_from, '00010101') "
+            f"AND d.trade_date < coalesce(s.valid_until, '99991231') ORDER BY coalesce(s.valid_from, '00010101') DESC, coalesce(s.valid_until, '99991231') DESC, p DESC LIMIT 1)"
+        )
+
     return f"""WITH alias(kind, a, p) AS (VALUES {_aliases()}),{side("vol", "volume")},{side("amount", "money")},
 stated AS (SELECT f.*, p FROM feed_units f JOIN alias ON a = unit_text AND kind = CASE field_name WHEN 'vol' THEN 'volume' ELSE 'money' END),
 fed AS (SELECT d.row_id, d.asset_type, vr.number AS v, ar.number AS m, coalesce(vr.text_pow, vu.unit_pow) AS v_own, coalesce(ar.text_pow, au.unit_pow) AS m_own,
-  sv.p AS v_says, sm.p AS m_says,
+  {says("vol")} AS v_says, {says("amount")} AS m_says,
   list_sort(list_filter([open, high, low, close], lambda x: x > 0)) AS prices
   FROM daily d
   LEFT JOIN vol_read vr ON vr.t = trim(lower({wide.format("vol")})) LEFT JOIN amount_read ar ON ar.t = trim(lower({wide.format("amount")}))
-  LEFT JOIN vol_unit_pow vu ON vu.u = trim(lower(vol_unit)) LEFT JOIN amount_unit_pow au ON au.u = trim(lower(amount_unit))
-  LEFT JOIN stated sv ON sv.feed = d.feed AND sv.asset_type = d.asset_type AND sv.field_name = 'vol' AND d.trade_date >= coalesce(sv.valid_from, '0') AND d.trade_date < coalesce(sv.valid_until, '9')
-  LEFT JOIN stated sm ON sm.feed = d.feed AND sm.asset_type = d.asset_type AND sm.field_name = 'amount' AND d.trade_date >= coalesce(sm.valid_from, '0') AND d.trade_date < coalesce(sm.valid_until, '9')),
+  LEFT JOIN vol_unit_pow vu ON vu.u = trim(lower(vol_unit)) LEFT JOIN amount_unit_pow au ON au.u = trim(lower(amount_unit))),
 k AS (SELECT *, coalesce(v_own, v_says) AS v_pow, coalesce(m_own, m_says) AS m_pow,
   CASE WHEN asset_type <> 'index' AND v <> 0 AND m <> 0 AND len(prices) > 0
   THEN CAST(round(log10(abs(m)) - log10(abs(v)) - log10(prices[(len(prices) + 1) // 2])) AS INT) + coalesce(m_own, m_says) - coalesce(v_own, v_says) END AS off FROM fed),

@@ -38,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A broadcast hint behind a count of the rows; a larger side is left to the planner."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table in the shared folder, which survives the loss of executors."""
     spark = df.sparkSession
