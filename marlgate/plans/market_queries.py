@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlgate.functions.normalize import as_number, day_text, digits_of_number, effective_day, market_code, real_day, trimmed
-from marlgate.operators import analysis, performance, portal, quality
+from marlgate.operators import analysis, performance, portal, quality, research
 from marlgate.operators.snapshots import index_snapshots
 from marlgate.operators.trailing import latest_bars
 from marlgate.plans.compiler import evaluate
@@ -270,6 +270,9 @@ def queries() -> dict[str, Query]:
         "stream_windows": streamed_windows, "event_windows": lambda s, d: _shown(event_windows(t(s, d, "events"))),
         "event_sessions": lambda s, d: sessions_of(t(s, d, "events"), "6 hours").select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n"),
         "pipeline_top_by_sector": top_by_sector, "pipeline_tilt": tilted_weights,
+        "research_masked": lambda s, d: research.masked(monthly_panel(s, d), {"value": "RANK($close)"}, F.col("close") > F.col("open")).select("asset", "session", "value"),
+        "research_missing": lambda s, d: research.missing_sessions(portal.sessions(t(s, d, "trade_cal"), "SSE"), t(s, d, "index_weight"), "snapshot_date", "20220101", "20221231"),
+        "pipeline_quotas": lambda s, d: research.quotas(t(s, d, "orders").groupBy(F.col("o_orderpriority").alias("group"), "o_orderstatus").agg(F.count(F.lit(1)).cast("double").alias("weight")), 17, ("o_orderstatus",)),
         "pipeline_breadth": lambda s, d: t(s, d, "stock_daily").groupBy("trade_date").agg(F.count(F.lit(1)).alias("n")),
     }
 
@@ -333,5 +336,9 @@ def oracle_sql() -> dict[str, str]:
         "k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS no FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM k GROUP BY user_id, no",
         "pipeline_top_by_sector": f"{x} SELECT session, industry, asset, CAST(row_number() OVER (PARTITION BY session, industry ORDER BY f DESC, cap DESC NULLS LAST, asset) AS INT) AS place FROM x WHERE f IS NOT NULL QUALIFY place <= 3",
         "pipeline_tilt": f"{x}, {_RANKS} SELECT session, asset, round(rf / sum(rf) OVER (PARTITION BY session, industry) / k, 6) AS weight FROM (SELECT *, count(DISTINCT industry) OVER (PARTITION BY session) AS k FROM ranks WHERE f IS NOT NULL)",
+        "research_masked": f"WITH {', '.join([PANEL_SQL, *steps_of({'value': 'RANK($close)', 'c': '$close', 'o': '$open'}, 'panel')[0]])} SELECT asset, session, CASE WHEN c > o THEN value END AS value FROM ({steps_of({'value': 'RANK($close)', 'c': '$close', 'o': '$open'}, 'panel')[1]})",
+        "research_missing": "SELECT DISTINCT cal_date AS session FROM trade_cal WHERE exchange = 'SSE' AND is_open = 1 AND cal_date BETWEEN '20220101' AND '20221231' AND cal_date NOT IN (SELECT snapshot_date FROM index_weight WHERE snapshot_date IS NOT NULL)",
+        "pipeline_quotas": "WITH w AS (SELECT o_orderstatus, o_orderpriority AS g, count(*) AS n FROM orders GROUP BY 1, 2), x AS (SELECT *, CAST(n AS DOUBLE) * 17 / sum(n) OVER (PARTITION BY o_orderstatus) AS x FROM w), "
+        'f AS (SELECT *, floor(x) AS f, 17 - sum(floor(x)) OVER (PARTITION BY o_orderstatus) AS l, row_number() OVER (PARTITION BY o_orderstatus ORDER BY x - floor(x) DESC, g) AS p FROM x) SELECT o_orderstatus, g AS "group", CAST(f + (p <= l)::INT AS INT) AS places FROM f',
         "pipeline_breadth": "SELECT trade_date, count(*) AS n FROM stock_daily GROUP BY 1",
     }
