@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from marlgate.functions.normalize import day_text, digits_of_number, effective_day, index_code, market_code, real_day, texts, trimmed
 from marlgate.operators.snapshots import index_snapshots
+from marlgate.session import cut, parts_for
 
 
 class PersistentTree:
@@ -160,12 +161,16 @@ def reports_known(positions: DataFrame, income: DataFrame) -> DataFrame:
     return events.join(found, ["ts_code", "day"]).select("position_id", "ref").distinct()
 
 
-def memberships_known(positions: DataFrame, index_weight: DataFrame, shards: int = 8) -> DataFrame:
-    """position_id, ref: the index's latest snapshot before the trade date, where the stock is in it."""
+def memberships_known(positions: DataFrame, index_weight: DataFrame, shards: int | None = None) -> DataFrame:
+    """position_id, ref: the index's latest snapshot before the trade date, where the stock is in it.
+
+    ``shards`` splits each index by member; left out, so many that a shard of the largest index holds 100,000 rows.
+    """
     events = position_events(positions).where(F.col("series").isNotNull())
+    members = cut(index_snapshots(index_weight).select("series", "snapshot", "item"))  # read several times
+    shards = shards or parts_for(members, "series", least=4)
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int").alias("shard")
     days = events.select("series", "ts_code", "day").distinct().withColumn("shard", shard("ts_code"))
-    members = index_snapshots(index_weight).select("series", "snapshot", "item")
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     named = members.select("series", "snapshot").distinct().select("series", "snapshot", F.lit(None).cast("string").alias("item"), every)
     rows = members.select("series", "snapshot", "item", shard("item")).unionByName(named)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlgate.functions.normalize import as_number, day_text, index_code, market_code, real_day
+from marlgate.session import cut, parts_for
 
 KINDS = np.array(["added", "removed", "changed"], dtype=object)
 
@@ -57,11 +58,13 @@ def compare_bucket(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"series": pd.Series(series, dtype=object), "snapshot_no": numbers, "row_key": found, "change_kind": pd.Series(KINDS[kinds], dtype=object)})
 
 
-def snapshot_changes(rows: DataFrame, values: list[str], buckets: int = 16) -> DataFrame:
+def snapshot_changes(rows: DataFrame, values: list[str], buckets: int | None = None) -> DataFrame:
     """``rows``: series, snapshot (sortable), item, and value columns; one row per (series, snapshot, item).
 
+    ``buckets`` splits each series by key; left out, so many that a bucket of the largest series holds 100,000 rows.
     Out: series, snapshot (the later one), item, change_kind, and for each value ``old_<v>`` and ``new_<v>``.
     """
+    buckets = buckets or parts_for(rows, "series", least=8)
     numbers = rows.select("series", "snapshot").distinct().withColumn("snapshot_no", F.row_number().over(Window.partitionBy("series").orderBy("snapshot")))
     compact = rows.join(numbers, ["series", "snapshot"]).withColumn("row_key", F.xxhash64("item"))
     last = numbers.groupBy("series").agg(F.max("snapshot_no").alias("snapshot_no"))
@@ -104,9 +107,9 @@ def index_snapshots(index_weight: DataFrame) -> DataFrame:
     return one.join(total, ["series", "snapshot"]).select("series", "snapshot", "item", F.round(F.col("weight") * scale).cast("bigint").alias("weight_e4"))
 
 
-def constituent_changes(index_weight: DataFrame, buckets: int = 16) -> DataFrame:
+def constituent_changes(index_weight: DataFrame, buckets: int | None = None) -> DataFrame:
     """index_code, snapshot_date, con_code, change_kind, old_weight, new_weight (percent)."""
-    changes = snapshot_changes(index_snapshots(index_weight), ["weight_e4"], buckets)
+    changes = snapshot_changes(cut(index_snapshots(index_weight)), ["weight_e4"], buckets)  # read several times
     return changes.select(
         F.col("series").alias("index_code"), F.col("snapshot").alias("snapshot_date"), F.col("item").alias("con_code"), "change_kind",
         (F.col("old_weight_e4") / 1e4).alias("old_weight"), (F.col("new_weight_e4") / 1e4).alias("new_weight"),

@@ -45,6 +45,14 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def parts_for(df: DataFrame, by: str, rows_each: int = 100_000, least: int = 1) -> int:
+    """Into how many parts each group of ``by`` has to be split so that the largest one's parts hold ``rows_each`` rows."""
+    from pyspark.sql import functions as F
+
+    most = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(least, -(-most // rows_each))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table in the shared folder, which survives the loss of executors."""
     spark = df.sparkSession
