@@ -25,34 +25,56 @@ def blank(c: Column | str) -> Column:
 
 
 def market_code(c: Column | str, suffixes: tuple[str, ...] = ("SZ", "SH", "BJ")) -> Column:
-    """``NNNNNN.XX`` in capitals, from any case, outer blanks and the prefixed form ``XXNNNNNN``; null where unreadable."""
-    up, any_of = F.upper(trimmed(c)), "|".join(suffixes)
+    """``NNNNNN.XX`` in capitals, from any case, outer blanks and the prefixed form ``XXNNNNNN``; null where unreadable.
+
+    A code in standard form, as nearly all are, costs one match.
+    """
+    raw, any_of = column(c).cast("string"), "|".join(suffixes)
+    up = F.upper(trimmed(raw))
     return (
-        F.when(up.rlike(rf"^\d{{6}}\.({any_of})$"), up)
-        .when(up.rlike(rf"^({any_of})[.]?\d{{6}}$"), F.concat(F.right(up, F.lit(6)), F.lit("."), F.left(up, F.lit(2))))
-        .when(up.rlike(rf"^\d{{6}}({any_of})$"), F.concat(F.left(up, F.lit(6)), F.lit("."), F.right(up, F.lit(2))))
+        F.when(raw.rlike(rf"^\d{{6}}\.({any_of})\z"), raw)
+        .when(up.rlike(rf"^\d{{6}}\.({any_of})\z"), up)
+        .when(up.rlike(rf"^({any_of})[.]?\d{{6}}\z"), F.concat(F.right(up, F.lit(6)), F.lit("."), F.left(up, F.lit(2))))
+        .when(up.rlike(rf"^\d{{6}}({any_of})\z"), F.concat(F.left(up, F.lit(6)), F.lit("."), F.right(up, F.lit(2))))
     )
 
 
 def index_code(c: Column | str) -> Column:
     """``NNNNNN.CSI`` in capitals, or null."""
     up = F.upper(trimmed(c))
-    return F.when(up.rlike(r"^\d{6}\.CSI$"), up)
+    return F.when(up.rlike(r"^\d{6}\.CSI\z"), up)
+
+
+EIGHT_DIGITS = r"^\d{8}\z"
+
+
+def _day_of_digits(digits: Column) -> Column:
+    """A DATE of eight digits; null where it isn't a real day. The year 0000 is none."""
+    dashed = F.concat(F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 2), F.lit("-"), F.substring(digits, 7, 2))
+    return F.when(digits >= "0001", dashed.try_cast("date"))
+
+
+def _digits_of_spelling(raw: Column) -> Column:
+    text = trimmed(raw)
+    return F.when(text.rlike(EIGHT_DIGITS), text).when(
+        text.rlike(r"^\d{4}([-/.])\d{2}\1\d{2}\z"), F.concat(F.substring(text, 1, 4), F.substring(text, 6, 2), F.substring(text, 9, 2))
+    )
 
 
 def real_day(c: Column | str) -> Column:
     """A DATE from ``YYYYMMDD`` or ``YYYY-MM-DD`` (also with ``/`` or ``.``); null where it isn't a real day.
 
-    A year of two digits names no century and stays unreadable.
+    A year of two digits names no century and stays unreadable. A day in standard form, as nearly all are, costs one match.
     """
-    text = trimmed(c)
-    digits = F.when(text.rlike(r"^\d{8}$"), text).when(
-        text.rlike(r"^\d{4}([-/.])\d{2}\1\d{2}$"), F.concat(F.substring(text, 1, 4), F.substring(text, 6, 2), F.substring(text, 9, 2))
-    )
-    return F.when(
-        digits >= "0001",
-        F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)).try_cast("date"),
-    )
+    raw = column(c).cast("string")
+    return F.when(raw.rlike(EIGHT_DIGITS), _day_of_digits(raw)).otherwise(_day_of_digits(_digits_of_spelling(raw)))
+
+
+def day_code(c: Column | str) -> Column:
+    """``YYYYMMDD`` of a day in any readable spelling, null where it isn't a real day."""
+    raw = column(c).cast("string")
+    digits = _digits_of_spelling(raw)
+    return F.when(raw.rlike(EIGHT_DIGITS), F.when(_day_of_digits(raw).isNotNull(), raw)).otherwise(F.when(_day_of_digits(digits).isNotNull(), digits))
 
 
 def day_text(day: Column) -> Column:
@@ -63,7 +85,7 @@ def day_text(day: Column) -> Column:
 def eight_digit_day(c: Column | str) -> Column:
     """True where the text as recorded is exactly eight digits of a real day."""
     c = column(c)
-    return F.coalesce(c.rlike(r"^\d{8}$") & real_day(c).isNotNull(), F.lit(False))
+    return F.coalesce(c.rlike(EIGHT_DIGITS) & real_day(c).isNotNull(), F.lit(False))
 
 
 def digits_of_number(c: Column | str) -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlgate.functions.normalize import as_number, day_text, digits_of_number, effective_day, market_code, real_day, trimmed
+from marlgate.functions.normalize import as_number, day_code, digits_of_number, effective_day, market_code, real_day, trimmed
 
 FIGURES = ("basic_eps", "total_revenue", "revenue", "operate_profit", "n_income", "rd_exp")
 RECORD = ("ts_code", "end_date", "report_type")
@@ -23,8 +23,8 @@ RECORD = ("ts_code", "end_date", "report_type")
 def readable_reports(income: DataFrame) -> DataFrame:
     """Record key in standard form, the order columns and the figures."""
     return income.select(
-        market_code("ts_code").alias("ts_code"), day_text(real_day("end_date")).alias("end_date"), digits_of_number("report_type").alias("report_type"),
-        day_text(real_day(effective_day("f_ann_date", "ann_date"))).alias("known_day"), F.coalesce(trimmed("update_flag") == "1", F.lit(False)).alias("updated"),
+        market_code("ts_code").alias("ts_code"), day_code("end_date").alias("end_date"), digits_of_number("report_type").alias("report_type"),
+        day_code(effective_day("f_ann_date", "ann_date")).alias("known_day"), F.coalesce(trimmed("update_flag") == "1", F.lit(False)).alias("updated"),
         "source_order", "row_id", *[as_number(f).alias(f) for f in FIGURES],
     ).where(F.col("ts_code").isNotNull() & F.col("end_date").isNotNull())
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,17 +47,38 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def parts_for(df: DataFrame, by: str, rows_each: int = 100_000, least: int = 1) -> int:
-    """Into how many parts each group of ``by`` has to be split so that the largest one's parts hold ``rows_each`` rows."""
-    from pyspark.sql import functions as F
-
-    most = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return max(least, -(-most // rows_each))
+def parts(spark: SparkSession, rows: int, rows_each: int = 100_000) -> int:
+    """Into how many tasks Python work over so many rows is cut: at most ``rows_each`` a task, all cores busy beyond ten thousand rows each."""
+    return max(1, -(-rows // rows_each), min(spark.sparkContext.defaultParallelism, -(-rows // 10_000)))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder, which survives the loss of executors."""
+    """Cut the lineage by a table in the shared folder, which survives the loss of executors. The table goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    passing(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver's file systems close: later frames may read it until then."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context: they need not have it, nor run in its folder."""
+    context = spark.sparkContext
+    if getattr(context, "_marlgate_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="marlgate-package-"), "marlgate-package.zip")  # read by the driver only
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(root):
+            for file in files:
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._marlgate_shipped = True
