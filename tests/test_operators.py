@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marlgate.functions import normalize as norm
 from marlgate.operators import incremental, profile, snapshots, survivorship, trailing, units
-from marlgate.operators.knowntime import PersistentTree
+from marlgate.operators.knowntime import PersistentTree, known_facts
 
 
 def test_spellings(spark):
@@ -70,20 +70,29 @@ def test_buckets_do_not_change_the_differences(spark):
     assert sorted(r[:4] for r in one) == sorted(want)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 15), st.integers(0, 12), st.integers(0, 99)), max_size=40), st.lists(st.tuples(st.integers(0, 17), st.integers(-1, 13)), max_size=20))
-def test_persistent_tree(facts, events):
-    facts = sorted(facts, key=lambda x: x[0])
-    tree = PersistentTree()
-    for known, valid, value in facts:
-        tree.put(valid, value)
-        tree.mark(known)
-    for day, at in events:
-        seen = {valid: value for known, valid, value in facts if known < day}
-        want = seen[max(v for v in seen if v <= at)] if any(v <= at for v in seen) else None
-        root = tree.before(day)
-        assert (tree.floor(tree.roots[root], at) if root is not None else None) == want
-        assert (tree.get(tree.roots[root], at) if root is not None else None) == seen.get(at)
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 3), st.integers(0, 15), st.integers(0, 12)), max_size=60), st.lists(st.tuples(st.integers(0, 4), st.integers(0, 17)), max_size=25), st.booleans(),
+)
+def test_known_facts(facts, events, exact):
+    columns = [np.array([f[i] for f in facts], dtype="int64") for i in range(3)]
+    entity, known, valid = columns[0], columns[1], columns[2] * (not exact)
+    got = known_facts(entity, valid, known, np.array([e for e, _ in events], dtype="int64"), np.array([d for _, d in events], dtype="int64"), exact)
+    for (e, day), found in zip(events, got.tolist(), strict=True):
+        seen = {}
+        for i in np.lexsort((np.arange(len(facts)), known)).tolist():
+            if entity[i] == e and known[i] < day and (exact or valid[i] <= day):
+                seen[int(valid[i])] = i
+        assert found == (seen[max(seen)] if seen else -1)
+
+
+def test_versions_of_the_tree_share_nodes():
+    keys = np.arange(100, dtype="int64") * 3
+    places = np.array([50, 10, 90, 10, 0, 99])
+    tree = PersistentTree(keys, places)
+    assert sum(map(len, tree.sides)) == len(places) * 7  # a path each, no copied tree
+    assert tree.get(np.array([0, 1, 3, 5]), keys[[10, 10, 10, 50]]).tolist() == [-1, 1, 3, 0]
+    assert tree.floor(np.array([1, 2, 4, 5]), np.array([29, 1000, 2, 298])).tolist() == [-1, 2, 4, 5 if keys[99] <= 298 else 2]
 
 
 def test_trailing_windows_equal_plain_sums(spark):
