@@ -1,27 +1,37 @@
 """Processing only new or changed records.
 
-A Merkle tree over key ranges holds, for each leaf, the count and digest of its rows; inner nodes digest their children.
-The saved tree covers what the last successful runs processed, the current tree all rows: one scan with a map-side
-aggregate gives both. Comparing descends only where digests differ; rows are read again and shuffled only for the leaves
-that changed. A run's output and its tree are published together, by one rename of a pointer.
-
-Defined results. Rows whose key can't be read are left out. Two nulls are equal. Of a row repeated
-under one id with other values the greater ones count. A run counts with the status it logged
-last (of lines logged at one instant: 'succeeded' only if all say so). An empty table gives no rows and a tree without
-leaves. A row without a load number belongs to no run. The number of leaves is bounded by days times ``buckets``, not by rows.
+A Merkle tree over key ranges is saved with every run: leaves hold count and digest of the rows of a day and key bucket,
+days, months and the root digest their children. A run digests today's rows (one scan, combined before the shuffle),
+reads the saved tree back and descends from the root, level by level, only where digests differ. Rows are read again and
+records compared only in the leaves that changed; leaves that came or vanished count as changed. Then output and tree are
+published together, by one rename of a pointer.
+
+A generation holds ``tree``, ``state`` (the records of the leaves it changed) and ``holders`` (which generation holds the records
+of each leaf), so a run writes what changed and refers to older generations for the rest.
+
+Defined results. Rows whose key can't be read are left out. A record counts as new or changed where its latest row (highest
+load_id, then row_id) differs in the compared columns from what the last run saved; delivered again with equal values it
+doesn't come out. Two nulls are equal. Of a row repeated under one id with other values the greater ones count. A record that
+is gone comes out as removed. A run counts with the status it logged
+last (of lines logged at one instant: 'succeeded' only if all say so). An empty table gives no rows and a tree of a root.
+A row without a load number belongs to no run. The number of leaves is bounded by days times ``buckets``, not by rows.
 """
 
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlgate.functions.normalize import as_number, day_text, digits_of_number, market_code, real_day, trimmed
+from marlgate.functions.normalize import as_number, day_code, digits_of_number, market_code, trimmed
+from marlgate.session import passing, shared_dir, small
 
 DIGESTS = ["rows", "digest_low", "digest_high"]
+ROOT, MONTH, DAY, LEAF = range(4)
 
 
 @dataclass(frozen=True)
@@ -35,7 +45,7 @@ class Dataset:
     buckets: int = 64
 
     def prepared(self, table: DataFrame) -> DataFrame:
-        """row_id, load_id, key columns, c_* compared columns and the leaf (range and bucket) of each readable row."""
+        """row_id, load_id, key columns, c_* compared columns, and range and leaf (its bucket) of each readable row."""
         rows = table.select("row_id", "load_id", *[c.alias(k) for k, c in self.keys.items()], *[c.alias(f"c_{k}") for k, c in self.compared.items()])
         readable = rows.where(F.col("ts_code").isNotNull() & F.col(self.range_key).isNotNull())
         return readable.withColumn("leaf", F.pmod(F.xxhash64("ts_code"), F.lit(self.buckets)).cast("int")).withColumn("range", F.col(self.range_key))
@@ -43,12 +53,12 @@ class Dataset:
 
 def stock_daily_set() -> Dataset:
     figures = ("open", "high", "low", "close", "pre_close", "volume", "turnover")
-    return Dataset("stock_daily", {"ts_code": market_code("ts_code"), "trade_date": day_text(real_day("trade_date"))}, "trade_date", {k: as_number(k) for k in figures})
+    return Dataset("stock_daily", {"ts_code": market_code("ts_code"), "trade_date": day_code("trade_date")}, "trade_date", {k: as_number(k) for k in figures})
 
 
 def income_set() -> Dataset:
     figures = ("basic_eps", "total_revenue", "revenue", "operate_profit", "n_income", "rd_exp")
-    keys = {"ts_code": market_code("ts_code"), "end_date": day_text(real_day("end_date")), "report_type": digits_of_number("report_type")}
+    keys = {"ts_code": market_code("ts_code"), "end_date": day_code("end_date"), "report_type": digits_of_number("report_type")}
     texts = {k: F.col(k) for k in ("ann_date", "f_ann_date", "update_flag")}
     return Dataset("income", keys, "end_date", texts | {k: as_number(k) for k in figures})
 
@@ -64,60 +74,62 @@ def processed_loads(runs: DataFrame, dataset: str) -> DataFrame:
 
 
 def row_hash(rows: DataFrame) -> Column:
-    return F.xxhash64("row_id", "load_id", *[x for c in rows.columns if c.startswith("c_") for x in (F.col(c), F.col(c).isNull())])
+    """Of a whole row: key, id, load and compared columns."""
+    return F.xxhash64("ts_code", "row_id", "load_id", content_hash(rows))
 
 
-def leaf_digests(rows: DataFrame, covered: str) -> DataFrame:
-    """range, leaf, and count and digests of the saved and of the current rows. Sums of half hashes can't overflow below
-    2**31 rows a leaf, don't depend on the order, and repeated rows don't cancel each other."""
-    cells = rows.select("range", "leaf", F.col(covered).alias("saved"), row_hash(rows).alias("h"))
-    parts = {"rows": F.lit(1).cast("bigint"), "digest_low": F.col("h").bitwiseAND(0xFFFFFFFF), "digest_high": F.shiftrightunsigned("h", 32)}
-    return cells.groupBy("range", "leaf").agg(
-        *[F.coalesce(F.sum(F.when(F.col("saved"), x)), F.lit(0).cast("bigint")).alias(f"saved_{n}") for n, x in parts.items()],
-        *[F.sum(x).alias(f"current_{n}") for n, x in parts.items()],
-    )
+def content_hash(rows: DataFrame) -> Column:
+    """Of what is compared."""
+    return F.xxhash64(*[x for c in rows.columns if c.startswith("c_") for x in (F.col(c), F.col(c).isNull())])
 
 
-def parents(nodes: DataFrame, parent: Column) -> DataFrame:
-    """One level up: a node's digest is that of its children with their names. The root has no name."""
-    def up(side: str) -> Column:
-        h = F.xxhash64("range", "leaf", *[f"{side}_{d}" for d in DIGESTS])
-        return F.sum(F.shiftrightunsigned(h, 20)).alias(f"{side}_digest")
+def _sums(rows: Column, h: Column) -> list[Column]:
+    """Sums of half hashes can't overflow below 2**31 rows, don't depend on the order, and repeated rows don't cancel each other."""
+    parts = {"rows": rows, "digest_low": h.bitwiseAND(0xFFFFFFFF), "digest_high": F.shiftrightunsigned(h, 32)}
+    return [F.coalesce(F.sum(x), F.lit(0)).cast("bigint").alias(n) for n, x in parts.items()]
 
-    return nodes.groupBy(parent.alias("node")).agg(up("saved"), up("current"))
 
+def leaf_digests(rows: DataFrame) -> DataFrame:
+    """range, leaf, rows and digests."""
+    return rows.groupBy("range", "leaf").agg(*_sums(F.lit(1).cast("bigint"), row_hash(rows)))
 
-def changed_leaves(leaves: DataFrame) -> DataFrame:
-    """Descend from the months to the leaves: (range, leaf) wherever saved and current digests differ."""
-    month = F.substring("range", 1, 6)
-    stale = parents(leaves, month).where(F.col("saved_digest") != F.col("current_digest")).select("node")
-    below = leaves.join(stale, month == F.col("node"), "left_semi")
-    differs = F.lit(False)
-    for d in DIGESTS:
-        differs = differs | (F.col(f"saved_{d}") != F.col(f"current_{d}"))
-    return below.where(differs).select("range", "leaf")
 
+def merkle_tree(leaves: DataFrame) -> DataFrame:
+    """level, parent, name, range, leaf, rows and digests of all nodes. A node's digest is that of its children with their names."""
+    bottom = leaves.select(F.lit(LEAF).alias("level"), F.col("range").alias("parent"), F.concat_ws("-", "range", "leaf").alias("name"), "range", "leaf", *DIGESTS)
+    nodes = [bottom]
+    for level, parent in ((DAY, F.substring("name", 1, 6)), (MONTH, F.lit("all")), (ROOT, F.lit(None).cast("string"))):
+        up = nodes[-1].groupBy(F.col("parent").alias("name")).agg(*_sums(F.col("rows"), F.xxhash64("name", *DIGESTS)))
+        nodes.append(up.select(F.lit(level).alias("level"), parent.alias("parent"), "name", F.lit(None).cast("string").alias("range"), F.lit(None).cast("int").alias("leaf"), *DIGESTS))
+    return reduce(DataFrame.unionByName, nodes)
 
-def new_or_changed(table: DataFrame, runs: DataFrame, dataset: Dataset) -> DataFrame:
-    """Latest rows of records that no successful run has processed as they are: row_id, load_id, keys and compared columns."""
-    done = processed_loads(runs, dataset.name).withColumn("covered", F.lit(True))
-    rows = dataset.prepared(table).join(done, "load_id", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
-    leaves = changed_leaves(leaf_digests(rows, "covered"))
-    touched = rows.join(leaves, ["range", "leaf"], "left_semi")
-    compared = [F.col(c) for c in touched.columns if c.startswith("c_")]
-    content, order = F.struct(*compared), F.struct("load_id", "row_id", *compared)
-    whole = F.struct("row_id", "load_id", "covered", content.alias("content"))
-    records = touched.groupBy(*dataset.keys).agg(
-        F.max_by(whole, order).alias("now"), F.max_by(F.when(F.col("covered"), content), F.when(F.col("covered"), order)).alias("before")
+
+def differing_nodes(now: DataFrame, saved: DataFrame, level: int, parents: list[str] | None) -> DataFrame:
+    """Nodes of a level, under the given parents, that differ, came or vanished: name, range, leaf."""
+    whole = F.struct(*DIGESTS)
+    sides = []
+    for tree, is_now in ((now, True), (saved, False)):
+        nodes = tree.where(F.col("level") == level)
+        sides.append((nodes if parents is None else nodes.where(F.col("parent").isin(parents))).select("name", "range", "leaf", whole.alias("whole"), F.lit(is_now).alias("is_now")))
+    met = sides[0].unionByName(sides[1]).groupBy("name", "range", "leaf").agg(
+        F.max(F.when(F.col("is_now"), F.col("whole"))).alias("a"), F.max(F.when(~F.col("is_now"), F.col("whole"))).alias("b")
     )
-    fresh = records.where(~F.col("now.covered") & ~F.col("before").eqNullSafe(F.col("now.content")))
-    return fresh.select(F.lit(dataset.name).alias("dataset"), F.col("now.row_id").alias("row_id"), F.col("now.load_id").alias("load_id"), *dataset.keys, F.col("now.content").alias("content"))
+    return met.where(~F.col("a").eqNullSafe(F.col("b"))).select("name", "range", "leaf")
+
+
+def changed_leaves(now: DataFrame, saved: DataFrame) -> DataFrame:
+    """Descend from the root to the leaves (range, leaf) that differ. Names of months and days come to the driver, never leaves."""
+    parents = None
+    for level in (ROOT, MONTH, DAY):
+        parents = [r["name"] for r in differing_nodes(now, saved, level, parents).select("name").collect()]
+    return differing_nodes(now, saved, LEAF, parents).select("range", "leaf")
 
 
 class Generations:
-    """A folder of generations, each with output and tree; the file CURRENT names the one that counts.
+    """A folder of generations; the file CURRENT names the one that counts, PREVIOUS in a generation the one before.
 
     A run that dies before the rename leaves the old generation in force: its records come again, none is lost or doubled.
+    A reader that keeps a generation's name goes on reading it after later publishes.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -126,54 +138,127 @@ class Generations:
         self.path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> str | None:
-        at = self.path(f"{self.folder}/CURRENT")
+    def _text(self, file: str) -> str | None:
+        at = self.path(f"{self.folder}/{file}")
         if not self.fs.exists(at):
             return None
         stream = self.fs.open(at)
         try:
-            return bytes(stream.readAllBytes()).decode().strip()
+            return bytes(stream.readAllBytes()).decode().strip() or None
         finally:
             stream.close()
 
-    def part(self, part: str) -> DataFrame | None:
-        """``output``, ``tree`` (leaf digests) or ``rows`` (row digests below the leaves) of the generation in force."""
-        name = self.current()
+    def _put(self, file: str, text: str) -> None:
+        stream = self.fs.create(self.path(f"{self.folder}/{file}"), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def current(self) -> str | None:
+        return self._text("CURRENT")
+
+    def part(self, part: str, name: str | None = None) -> DataFrame | None:
+        """``tree``, ``state`` or ``holders`` of a generation, by default the one in force."""
+        name = name or self.current()
         return self.spark.read.parquet(f"{self.folder}/{name}/{part}") if name else None
 
-    def publish(self, **parts: DataFrame) -> str:
+    def begin(self) -> str:
         name = f"generation-{uuid.uuid4().hex}"
-        for part, frame in parts.items():
-            frame.write.parquet(f"{self.folder}/{name}/{part}")
+        self._put(f"{name}/PREVIOUS", self.current() or "")
+        return name
+
+    def write(self, name: str, part: str, frame: DataFrame, *by: str) -> DataFrame:
+        frame.write.partitionBy(*by).parquet(f"{self.folder}/{name}/{part}")
+        return self.part(part, name)
+
+    def publish(self, name: str) -> None:
+        """Put the generation in force, by one rename."""
+        self._put(f".{name}", name)
         temporary, final = self.path(f"{self.folder}/.{name}"), self.path(f"{self.folder}/CURRENT")
-        stream = self.fs.create(temporary, True)
-        stream.write(bytearray(name.encode()))
-        stream.close()
         jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         overwrite = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(context.makeQualified(temporary), context.makeQualified(final), overwrite)
-        return name
+
+    def roll_back(self) -> str | None:
+        """Put the generation before the current one in force again; its name, or None where there is none."""
+        before = self._text(f"{self.current()}/PREVIOUS")
+        if before:
+            self.publish(before)
+        return before
+
+    def recover(self) -> list[str]:
+        """Delete what died before its rename: generations that neither the current one nor its forerunners name."""
+        kept, name = set(), self.current()
+        while name:
+            kept.add(name)
+            name = self._text(f"{name}/PREVIOUS")
+        names = [f.getPath().getName() for f in self.fs.listStatus(self.path(self.folder))] if self.fs.exists(self.path(self.folder)) else []
+        lost = [n for n in names if n.lstrip(".").startswith("generation-") and n.lstrip(".") not in kept]
+        for n in lost:
+            self.fs.delete(self.path(f"{self.folder}/{n}"), True)
+        return lost
+
+
+def _held_records(store: Generations, stale: DataFrame) -> DataFrame | None:
+    """The saved records of the given leaves, read from the generations that hold them."""
+    held = small(store.part("holders").join(small(stale), ["range", "leaf"], "left_semi"))
+    parts = []
+    for (holder,) in held.select("holder").distinct().collect():  # as many as generations
+        records = store.part("state", holder).where(F.col("digest").isNotNull())
+        parts.append(records.join(held.where(F.col("holder") == holder), ["range", "leaf"], "left_semi"))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def run_increment(table: DataFrame, dataset: Dataset, store: Generations) -> DataFrame:
-    """One run against a store: rows that are new or differ since the published tree; published with the new tree.
+    """One run against a store: key columns, row_id, load_id of the records that are new or differ from the published state,
+    with ``removed`` true for those that are gone (row_id then that of the saved row). Published with the new tree."""
+    rows, keys = dataset.prepared(table), list(dataset.keys)
+    name = store.begin()
+    now = store.write(name, "tree", merkle_tree(leaf_digests(rows)), "level")
+    saved, stale = store.part("tree"), None
+    if saved is None:
+        holders = now.where(F.col("level") == LEAF).select("range", "leaf", F.lit(name).alias("holder"))
+    else:
+        stale = store.write(name, "stale", changed_leaves(now, saved))
+        rows = rows.join(small(stale), ["range", "leaf"], "left_semi")
+        holders = store.part("holders").join(small(stale), ["range", "leaf"], "left_anti").unionByName(stale.withColumn("holder", F.lit(name)))
+    store.write(name, "holders", holders)
+    compared = [c for c in rows.columns if c.startswith("c_")]
+    none = F.lit(None).cast("bigint")
+    order, row = F.struct("load_id", "row_id", *compared), F.struct("row_id", "load_id", content_hash(rows).alias("digest"))
+    if stale is None or (before := _held_records(store, stale)) is None:
+        records = rows.groupBy(*keys, "range", "leaf").agg(F.max_by(row, order).alias("now"), F.max(F.struct(none.alias("row_id"), none.alias("digest"))).alias("saved"))
+    else:
+        nothing = F.struct(none.alias("row_id"), none.alias("digest"))
+        today = rows.select(*keys, "range", "leaf", row.alias("row"), order.alias("order"), F.when(F.lit(False), nothing).alias("old"))
+        known = before.select(
+            *keys, "range", "leaf", F.lit(None).cast(today.schema["row"].dataType).alias("row"), F.lit(None).cast(today.schema["order"].dataType).alias("order"),
+            F.struct("row_id", "digest").alias("old"),
+        )
+        records = today.unionByName(known).groupBy(*keys, "range", "leaf").agg(F.max_by("row", "order").alias("now"), F.max("old").alias("saved"))
+    store.write(name, "state", records.select(*keys, "range", "leaf", "now.row_id", "now.load_id", "now.digest", F.col("saved.row_id").alias("saved_row_id"), F.col("saved.digest").alias("saved_digest")))
+    store.publish(name)
+    gone = F.col("digest").isNull()
+    changed = store.part("state", name).where(~F.col("digest").eqNullSafe(F.col("saved_digest")))
+    return changed.select(*keys, F.when(gone, F.col("saved_row_id")).otherwise(F.col("row_id")).alias("row_id"), "load_id", gone.alias("removed"))
+
+
+def new_or_changed(table: DataFrame, runs: DataFrame, dataset: Dataset) -> DataFrame:
+    """Latest rows of records that no successful run has processed as they are: dataset, row_id, load_id and keys.
 
-    Only rows of leaves whose digests changed are compared, by row digest, with the saved generation.
+    What the runs covered is first saved as a generation with its tree, then the next run is done against it.
     """
-    rows = dataset.prepared(table).withColumn("covered", F.lit(True))
-    rows = rows.withColumn("row_digest", row_hash(rows))
-    now = leaf_digests(rows.drop("row_digest"), "covered").select("range", "leaf", *[F.col(f"current_{d}").alias(d) for d in DIGESTS])
-    saved = store.part("tree")
-    output = rows
-    if saved is not None:
-        old = saved.select("range", "leaf", *[F.col(d).alias(f"old_{d}") for d in DIGESTS])
-        same = F.lit(True)
-        for d in DIGESTS:
-            same = same & F.col(d).eqNullSafe(F.col(f"old_{d}"))
-        stale = now.join(old, ["range", "leaf"], "left").where(~same).select("range", "leaf")
-        known = store.part("rows").join(stale, ["range", "leaf"], "left_semi").select("range", "leaf", "row_digest")
-        output = rows.join(stale, ["range", "leaf"], "left_semi").join(known, ["range", "leaf", "row_digest"], "left_anti")
-    store.publish(output=output.drop("covered", "row_digest"), tree=now, rows=rows.select("range", "leaf", "row_digest"))
-    return store.part("output")
+    spark = table.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/increments-{uuid.uuid4().hex}"
+    passing(spark, folder)
+    store = Generations(spark, folder)
+    covered = table.join(small(processed_loads(runs, dataset.name).withColumnRenamed("load_id", "covered_load")), F.col("load_id") == F.col("covered_load"), "left_semi")
+    run_increment(covered, dataset, store)
+    return run_increment(table, dataset, store).where(~F.col("removed")).select(F.lit(dataset.name).alias("dataset"), "row_id", "load_id", *dataset.keys)
+
+
+def all_new_or_changed(sources: list[tuple[DataFrame, Dataset]], runs: DataFrame) -> list[DataFrame]:
+    """``new_or_changed`` of several tables, whose runs are independent and go side by side."""
+    with ThreadPoolExecutor(len(sources)) as pool:
+        return list(pool.map(lambda x: new_or_changed(x[0], runs, x[1]), sources))

@@ -17,16 +17,19 @@ def _over(operator: Callable[..., DataFrame], *names: str) -> Query:
     return lambda spark, folder: operator(*[table(spark, folder, n) for n in names])
 
 
+def increments(stock_daily: DataFrame, income: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    bars, reports = incremental.all_new_or_changed([(stock_daily, incremental.stock_daily_set()), (income, incremental.income_set())], runs)
+    return bars, reports
+
+
 def found_increments(stock_daily: DataFrame, income: DataFrame, runs: DataFrame) -> DataFrame:
-    bars = incremental.new_or_changed(stock_daily, runs, incremental.stock_daily_set())
-    reports = incremental.new_or_changed(income, runs, incremental.income_set())
+    bars, reports = increments(stock_daily, income, runs)
     return bars.select("dataset", "row_id").unionByName(reports.select("dataset", "row_id"))
 
 
 def pending_records(stock_daily: DataFrame, income: DataFrame, runs: DataFrame) -> DataFrame:
-    """The rows the next run gets, with key and known values: dataset, row_id, load_id, ts_code, range_day."""
-    bars = incremental.new_or_changed(stock_daily, runs, incremental.stock_daily_set())
-    reports = incremental.new_or_changed(income, runs, incremental.income_set())
+    """The rows the next run gets, with their key: dataset, row_id, load_id, ts_code, range_day."""
+    bars, reports = increments(stock_daily, income, runs)
     return bars.select("dataset", "row_id", "load_id", "ts_code", F.col("trade_date").alias("range_day")).unionByName(
         reports.select("dataset", "row_id", "load_id", "ts_code", F.col("end_date").alias("range_day"))
     )
