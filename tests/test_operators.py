@@ -125,42 +125,71 @@ def log(spark, rows):
     return spark.createDataFrame([(i, d, c, 1.0, 1.0, 1.0, float(p), 1.0, 1.0, 1.0, load) for i, d, c, p, load in rows], schema)
 
 
+def ids(frame, removed=False):
+    return sorted(r["row_id"] for r in frame.where(F.col("removed") == removed).collect())
+
+
 def test_increments_are_published_with_their_tree(spark, tmp_path):
-    store = incremental.Generations(spark, str(tmp_path / "store"))
+    bars, folder = incremental.stock_daily_set(), str(tmp_path / "store")
+    store = incremental.Generations(spark, folder)
     first = [(1, "20220103", "000001.SZ", 5, 1), (2, "20220104", "000001.SZ", 6, 1), (3, "bad", "000001.SZ", 6, 1)]
     assert store.current() is None
-    assert sorted(r["row_id"] for r in incremental.run_increment(log(spark, first), incremental.stock_daily_set(), store).collect()) == [1, 2]
-    assert incremental.run_increment(log(spark, first), incremental.stock_daily_set(), store).count() == 0
+    assert ids(incremental.run_increment(log(spark, first), bars, store)) == [1, 2]
+    assert incremental.run_increment(log(spark, first), bars, store).count() == 0
     named = store.current()
     more = [*first, (4, "20220104", "000001.SZ", 7, 2), (5, "20220105", "600000.SH", 7, 2)]
 
     class Broken(incremental.Generations):
-        def publish(self, **parts):
-            parts["output"].write.parquet(f"{self.folder}/generation-half/output")
+        def publish(self, name):
             raise RuntimeError("executor lost before the rename")
 
     with pytest.raises(RuntimeError):
-        incremental.run_increment(log(spark, more), incremental.stock_daily_set(), Broken(spark, str(tmp_path / "store")))
+        incremental.run_increment(log(spark, more), bars, Broken(spark, folder))
     assert store.current() == named
-    assert sorted(r["row_id"] for r in incremental.run_increment(log(spark, more), incremental.stock_daily_set(), store).collect()) == [4, 5]
+    assert ids(incremental.run_increment(log(spark, more), bars, store)) == [4, 5]
     assert store.current() != named
-
-
-def test_only_changed_leaves_are_descended_into(spark):
-    rows = [(i, f"2022{1 + i % 12:02d}10", f"{i:06d}.SZ", i, 1) for i in range(200)] + [(900, "20220310", "000002.SZ", 1, 2)]
-    prepared = incremental.stock_daily_set().prepared(log(spark, rows)).withColumn("covered", F.col("load_id") == 1)
-    leaves = incremental.changed_leaves(incremental.leaf_digests(prepared, "covered")).collect()
-    assert [r["range"] for r in leaves] == ["20220310"]
+    lost = store.recover()
+    assert len(lost) == 1 and store.part("state").count() == 2 and store.part("tree", named).count() > 0
+    assert store.roll_back() == named and ids(incremental.run_increment(log(spark, more), bars, store)) == [4, 5]
+
+
+def test_redelivery_change_and_removal(spark, tmp_path):
+    """One rule for the stored run and the test tables: records count, not rows."""
+    bars, store = incremental.stock_daily_set(), incremental.Generations(spark, str(tmp_path / "store"))
+    first = [(1, "20220103", "000001.SZ", 5, 1), (2, "20220104", "000001.SZ", 6, 1), (3, "20220301", "000002.SZ", 6, 1)]
+    incremental.run_increment(log(spark, first), bars, store)
+    again = [*first, (4, "2022-01-04", "sz000001", 6, 2)]
+    assert incremental.run_increment(log(spark, again), bars, store).count() == 0  # delivered again with equal values
+    gone = [*again[:2], again[3], (5, "20220105", "000001.SZ", 1, 3), (6, "20220103", "000001.SZ", 8, 3), (7, "20220103", "000001.SZ", 5, 4)]
+    got = incremental.run_increment(log(spark, gone), bars, store)
+    assert ids(got) == [5] and ids(got, removed=True) == [3]  # changed and changed back is no change; a vanished leaf is found
+    assert incremental.run_increment(log(spark, gone), bars, store).count() == 0
+    assert ids(incremental.run_increment(log(spark, [*gone, first[2]]), bars, store)) == [3]
+
+
+def test_only_changed_leaves_are_descended_into(spark, tmp_path):
+    bars, store = incremental.stock_daily_set(), incremental.Generations(spark, str(tmp_path / "store"))
+    rows = [(i, f"2022{1 + i % 12:02d}10", f"{i:06d}.SZ", i, 1) for i in range(200)]
+    incremental.run_increment(log(spark, rows), bars, store)
+    first, whole = store.current(), store.part("state").count()
+    assert ids(incremental.run_increment(log(spark, [*rows, (900, "20220310", "000002.SZ", 1, 2)]), bars, store)) == [900]
+    assert [r["range"] for r in store.part("stale").collect()] == ["20220310"]
+    assert whole == 200 and store.part("state").count() < 8  # a second run reads and writes a fraction
+    held = {r["range"]: r["holder"] for r in store.part("holders").where("range in ('20220310', '20220410')").collect()}
+    assert held["20220410"] == first
+    months = incremental.differing_nodes(store.part("tree"), store.part("tree", first), incremental.MONTH, ["all"]).collect()
+    assert [r["name"] for r in months] == ["202203"]
 
 
 def test_exact_medians(spark):
     rng = random.Random(8)
-    values = [(rng.lognormvariate(5, 4), float(rng.randint(0, 3)), None if rng.random() < 0.5 else -rng.random(), None) for _ in range(501)]
-    frame = spark.createDataFrame(values, "a double, b double, c double, d double")
-    got = profile.exact_medians(frame, ["a", "b", "c", "d"])
-    for i, name in enumerate("abc"):
-        assert got[name] == np.median([v[i] for v in values if v[i] is not None])
-    assert got["d"] is None
+    for rows in (501, 500, 1):
+        values = [(rng.lognormvariate(5, 4), float(rng.randint(0, 3)), None if rows > 1 and rng.random() < 0.5 else -rng.random(), None, rng.choice([-1e-300, 0.0, -0.0, 1e300])) for _ in range(rows)]
+        frame = spark.createDataFrame(values, "a double, b double, c double, d double, e double")
+        got = profile.exact_medians(frame, list("abcde"))
+        for i, name in enumerate("abcde"):
+            seen = [v[i] for v in values if v[i] is not None]
+            assert got[name] == (np.median(seen) if seen else None), (name, rows)
 
 
 def test_two_sample_test_names_the_odd_load(spark):
@@ -170,6 +199,49 @@ def test_two_sample_test_names_the_odd_load(spark):
     _, tested = profile.two_sample_test(frame, ["a", "b"])
     area = {(r["load"], r["column"]): r for r in tested.collect()}
     assert area[3, "a"]["area_alone"] > 0.95 and area[3, "a"]["area_without"] < 0.6
-    assert all(r["area_alone"] < 0.6 for k, r in area.items() if k[1] == "b")
+    assert all(r["area_alone"] < 0.6 and not r["named"] for k, r in area.items() if k[1] == "b")
+    assert area[3, "a"]["area"] - area[3, "a"]["area_without"] > 0.3  # the ablation names the column too
     found = {(r["rule_name"], r["ref_id"]) for r in profile.outstanding_loads(frame, "t", ["a", "b"]).collect()}
     assert found == {("median_shift:a", 3)}
+
+
+def test_every_finding_has_a_score_that_named_it_whatever_the_size(spark):
+    """Loads of ten rows upwards, cases just at the half, columns where a third of the table is odd."""
+    rng = random.Random(6)
+    rows = []
+    for load in range(60):
+        n = rng.choice([10, 11, 12, 14, 40])
+        kind = load % 6
+        for i in range(n):
+            a, b = rng.lognormvariate(3, 0.4), rng.lognormvariate(6, 0.4) * (1000 if rng.random() < 0.3 else 1)
+            if kind == 1 and 2 * i < n:
+                a = None
+            if kind == 2 and 2 * i <= n:
+                b *= 1e-3
+            if kind == 3 and 2 * i + 2 < n:
+                a = None  # just not half
+            rows.append((len(rows), load, a, b, b if kind != 4 else None))
+    frame = spark.createDataFrame(rows, "row_id long, load_id int, a double, b double, c double")
+    medians, tested = profile.two_sample_test(frame, ["a", "b", "c"])
+    named = {(r["load"], r["column"]) for r in tested.collect() if r["named"]}
+    want = set()
+    for load in range(60):
+        for k, c in ((2, "a"), (3, "b"), (4, "c")):
+            own = [r[k] for r in rows if r[1] == load]
+            seen = [v for v in own if v is not None]
+            if 2 * (len(own) - len(seen)) >= len(own):
+                want.add((f"null_surge:{c}", load))
+            elif not 0.1 * medians[c] <= np.median(seen) <= 10 * medians[c]:
+                want.add((f"median_shift:{c}", load))
+    got = {(r["rule_name"], r["ref_id"]) for r in profile.outstanding_loads(frame, "t", ["a", "b", "c"]).collect()}
+    assert got == want and len(want) > 25
+    assert all((load, rule.split(":")[1]) in named for rule, load in got)
+
+
+def test_what_reaches_the_driver_does_not_grow_with_loads(spark):
+    """Models come in blocks; a small block gives the same scores."""
+    rows = [(i, i % 50, float(i % 7), float(i % 11)) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "row_id long, load_id int, a double, b double")
+    one, many = (sorted(map(tuple, profile.two_sample_test(frame, ["a", "b"], block=n)[1].collect())) for n in (512, 7))
+    assert len(one) == 100 and [r[:3] for r in one] == [r[:3] for r in many]
+    assert np.allclose([r[3:6] for r in one], [r[3:6] for r in many])
