@@ -9,7 +9,7 @@ The automaton only sees texts that hold more than a plain number: plain numbers
 
 Defined results. Null, empty and numberless text ("N/A", "--") give a null number and no power. Zero has a power but is
 no case. An unknown unit leaves the figure as unlabelled; where no unit is stated for
-a feed and day nothing differs from it. Repeated rows are judged row by row. Of periods
+a feed and day, or none that can be read (``stated_units`` lists those), nothing differs from it. Repeated rows are judged row by row. Of periods
 that overlap in feed_units the one that began last holds. Extra columns are kept.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlgate.functions.normalize import as_number, real_day, trimmed
+from marlgate.functions.normalize import as_number, day_text, real_day, trimmed
 from marlgate.session import small
 
 # Customary unit aliases by field kind, with the power of ten to shares or yuan.
@@ -92,7 +92,7 @@ class UnitFinder:
         return kept
 
     def read(self, text: str) -> tuple[float | None, str | None]:
-        """The number and the unit nearest to it; either may be missing."""
+        """The number and the unit that stand nearest to each other; either may be missing. Without a unit the first number counts."""
         flat = self.flat(text)
         spans = self.spans(flat)
         rest = list(flat)
@@ -101,9 +101,9 @@ class UnitFinder:
         numbers = [m for m in NUMBER.finditer("".join(rest)) if any(ch.isdigit() for ch in m.group())]
         if not numbers:
             return None, spans[0][2] if spans else None
-        number = numbers[0]
-        near = min(spans, key=lambda s: (max(s[0] - number.end(), number.start() - s[1]), s[0]), default=None)
-        return float(number.group().replace(",", "")), near[2] if near else None
+        pairs = [(max(s[0] - m.end(), m.start() - s[1]), m.start(), s[0], m, s[2]) for m in numbers for s in spans]
+        _, _, _, number, unit = min(pairs, key=lambda p: p[:3], default=(0, 0, 0, numbers[0], None))
+        return float(number.group().replace(",", "")), unit
 
     def cached(self, text: str) -> tuple[float | None, str | None]:
         if len(self.known) > 200_000:
@@ -162,19 +162,33 @@ def read_figures(df: DataFrame, figures: dict[str, tuple[str, str, str | None]])
 
 
 def stated_powers(feed_units: DataFrame) -> DataFrame:
-    """feed_units with the power of each stated unit: (s_feed, s_asset, s_field, s_from, s_until, s_pow)."""
-    both = factor_table(feed_units.sparkSession)
+    """feed_units with the power of each stated unit: (s_feed, s_asset, s_field, s_from, s_until, s_pow).
+
+    The automaton reads the stated texts too, in any of their aliases. A text it can't read keeps its row, with a null power.
+    """
+    nothing, unit = F.lit(None).cast("string"), F.when(trimmed("unit_text") != "", trimmed("unit_text"))
+    found = _reader(["volume", "money"])(nothing, unit, nothing, unit)
     kind = F.when(F.col("field_name") == "vol", "volume").when(F.col("field_name") == "amount", "money")
-    return feed_units.select(
+    read = feed_units.select(
         F.col("feed").alias("s_feed"), F.col("asset_type").alias("s_asset"), F.col("field_name").alias("s_field"),
         F.coalesce(real_day("valid_from"), F.lit("0001-01-01").cast("date")).alias("s_from"),
-        F.coalesce(real_day("valid_until"), F.lit("9999-12-31").cast("date")).alias("s_until"),
-        F.lower(trimmed("unit_text")).alias("s_unit"), kind.alias("s_kind"),
-    ).join(F.broadcast(both), (F.col("s_kind") == F.col("kind")) & (F.col("s_unit") == F.col("unit_name"))).select(
+        F.coalesce(real_day("valid_until"), F.lit("9999-12-31").cast("date")).alias("s_until"), kind.alias("s_kind"), found.alias("found"),
+    )
+    unit_of = F.when(F.col("s_kind") == "volume", F.col("found.unit0")).when(F.col("s_kind") == "money", F.col("found.unit1"))
+    both = factor_table(feed_units.sparkSession)
+    return read.withColumn("s_unit", unit_of).join(F.broadcast(both), (F.col("s_kind") == F.col("kind")) & (F.col("s_unit") == F.col("unit_name")), "left").select(
         "s_feed", "s_asset", "s_field", "s_from", "s_until", F.col("pow10").alias("s_pow")
     )
 
 
+def stated_units(feed_units: DataFrame) -> DataFrame:
+    """feed, asset_type, field_name, valid_from (text), pow10, readable: what each period states; unreadable units are reported, not dropped."""
+    return stated_powers(feed_units).select(
+        F.col("s_feed").alias("feed"), F.col("s_asset").alias("asset_type"), F.col("s_field").alias("field_name"), day_text(F.col("s_from")).alias("valid_from"),
+        F.col("s_pow").alias("pow10"), F.col("s_pow").isNotNull().alias("readable"),
+    )
+
+
 def own_price(*names: str) -> Column:
     """The median of the row's own positive prices (of four: the lower middle)."""
     prices = F.array_sort(F.filter(F.array(*[F.col(n).cast("double") for n in names]), lambda x: (x > 0) & ~F.isnan(x)))

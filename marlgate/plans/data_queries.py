@@ -49,6 +49,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _over(units.unit_cases, "daily", "stock_daily", "feed_units"),
         "p1_converted": _over(units.converted, "daily", "stock_daily", "feed_units"),
+        "p1_stated": _over(units.stated_units, "feed_units"),
         "p2_found": lambda spark, folder: snapshots.constituent_changes(table(spark, folder, "index_weight")).select("index_code", "snapshot_date", "con_code", "change_kind"),
         "p2_weights": _over(snapshots.constituent_changes, "index_weight"),
         "p3_found": _over(found_increments, "stock_daily", "income", "update_runs"),
@@ -120,7 +121,7 @@ def _figures() -> str:
         )
 
     return f"""WITH alias(kind, a, p) AS (VALUES {_aliases()}),{side("vol", "volume")},{side("amount", "money")},
-stated AS (SELECT f.*, p FROM feed_units f JOIN alias ON a = unit_text AND kind = CASE field_name WHEN 'vol' THEN 'volume' ELSE 'money' END),
+stated AS (SELECT f.*, p FROM feed_units f LEFT JOIN alias ON a = lower(trim(unit_text)) AND kind = CASE field_name WHEN 'vol' THEN 'volume' ELSE 'money' END),
 fed AS (SELECT d.row_id, d.asset_type, vr.number AS v, ar.number AS m, coalesce(vr.text_pow, vu.unit_pow) AS v_own, coalesce(ar.text_pow, au.unit_pow) AS m_own,
   {says("vol")} AS v_says, {says("amount")} AS m_says,
   list_sort(list_filter([open, high, low, close], lambda x: x > 0)) AS prices
@@ -173,7 +174,7 @@ SELECT '{name}' AS dataset, n.row_id{outs} FROM n LEFT JOIN b USING ({using}) WH
 
 
 _BAR_FIGURES = ["open", "high", "low", "close", "pre_close", "volume", "turnover"]
-_REPORT_FIGURES = list(survivorship.FIGURES)
+REPORT_FIGURES = list(survivorship.FIGURES)
 _LATEST = f"""latest AS (SELECT {_code("ts_code")} AS ts_code, CAST(try_strptime({_day("trade_date")}, '%Y%m%d') AS DATE) AS d, close, volume, load_id, row_id FROM stock_daily
   WHERE ({_code("ts_code")}) IS NOT NULL AND ({_day("trade_date")}) IS NOT NULL),
 bars AS (SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY ts_code, d ORDER BY load_id DESC, row_id DESC, close DESC NULLS LAST, volume DESC NULLS LAST) = 1),
@@ -183,9 +184,9 @@ dense AS (SELECT ts_code, d, CASE WHEN volume >= 0 THEN volume ELSE 0 END AS v,
   FROM days LEFT JOIN bars USING (ts_code, d))"""
 
 
-def _reports() -> str:
+def reports_sql() -> str:
     return f"""versions AS (SELECT {_code("ts_code")} AS ts_code, {_day("end_date")} AS end_date, {TYPE_DIGITS} AS report_type, {_day(EFFECTIVE)} AS known,
-  coalesce(trim(update_flag) = '1', false) AS updated, source_order, row_id, {", ".join(_REPORT_FIGURES)} FROM income),
+  coalesce(trim(update_flag) = '1', false) AS updated, source_order, row_id, {", ".join(REPORT_FIGURES)} FROM income),
 reports AS (SELECT * FROM versions WHERE ts_code IS NOT NULL AND end_date IS NOT NULL)"""
 
 
@@ -193,7 +194,7 @@ def _best_fields(outer: str) -> str:
     return " UNION ALL ".join(
         f"(SELECT ts_code, end_date, report_type, '{f}' AS field_name, row_id, {f} AS value FROM reports WHERE {f} IS NOT NULL "
         f"QUALIFY row_number() OVER (PARTITION BY ts_code, end_date, report_type ORDER BY known DESC NULLS LAST, updated DESC, source_order DESC NULLS LAST, row_id) = 1)"
-        for f in _REPORT_FIGURES
+        for f in REPORT_FIGURES
     )
 
 
@@ -221,7 +222,7 @@ WHERE n >= 10 AND (2 * nulls >= n OR m < 0.1 * g OR m > 10 * g)""")
 def oracle_sql() -> dict[str, str]:
     bar_keys = f"{_code('ts_code')} AS ts_code;{_day('trade_date')} AS trade_date"
     report_keys = f"{_code('ts_code')} AS ts_code;{_day('end_date')} AS end_date;{TYPE_DIGITS} AS report_type"
-    report_compared = ["ann_date", "f_ann_date", "update_flag", *_REPORT_FIGURES]
+    report_compared = ["ann_date", "f_ann_date", "update_flag", *REPORT_FIGURES]
     more = lambda day: f", n.load_id, n.ts_code, n.{day} AS range_day"
     frame = lambda n: f"(PARTITION BY ts_code ORDER BY d ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     trail = ", ".join(
@@ -230,25 +231,27 @@ def oracle_sql() -> dict[str, str]:
     )
     profile_columns = {
         "stock_daily": ["row_id", "trade_date", "ts_code", *_BAR_FIGURES, "load_id", "loaded_at"],
-        "income": ["row_id", "ts_code", "ann_date", "f_ann_date", "end_date", "report_type", "comp_type", "end_type", *_REPORT_FIGURES, "update_flag", "source_order", "load_id"],
+        "income": ["row_id", "ts_code", "ann_date", "f_ann_date", "end_date", "report_type", "comp_type", "end_type", *REPORT_FIGURES, "update_flag", "source_order", "load_id"],
         "daily": ["row_id", "feed", "asset_type", "ts_code", "trade_date", "open", "high", "low", "close", "pre_close", "pct_chg", "vol", "vol_unit", "amount", "amount_unit", "received_at"],
     }
     return {
         "p1_found": _figures() + " SELECT src_table, row_id, field_name, CAST(pow10 AS INT) AS pow10 FROM figures WHERE number <> 0 AND pow10 <> says",
         "p1_converted": _figures() + " SELECT src_table, row_id, field_name, CASE WHEN pow10 >= 0 THEN number * pow(10.0, pow10) ELSE number / pow(10.0, -pow10) END AS common_value FROM figures",
+        "p1_stated": f"WITH alias(kind, a, p) AS (VALUES {_aliases()}) SELECT feed, asset_type, field_name, coalesce({_day('valid_from')}, '00010101') AS valid_from, CAST(p AS INT) AS pow10, p IS NOT NULL AS readable "
+        "FROM feed_units LEFT JOIN alias ON a = lower(trim(unit_text)) AND kind = CASE field_name WHEN 'vol' THEN 'volume' WHEN 'amount' THEN 'money' END",
         "p2_found": _SNAPSHOTS + "SELECT index_code, snapshot_date, con_code, change_kind FROM c",
         "p2_weights": _SNAPSHOTS + "SELECT * FROM c",
         "p3_found": _increment("stock_daily", bar_keys, _BAR_FIGURES, "") + " UNION ALL " + _increment("income", report_keys, report_compared, ""),
         "p3_pending": _increment("stock_daily", bar_keys, _BAR_FIGURES, more("trade_date")) + " UNION ALL " + _increment("income", report_keys, report_compared, more("end_date")),
-        "p4_found": f"WITH {_reports()}, several AS (SELECT ts_code, end_date, report_type FROM reports GROUP BY ALL HAVING count(*) >= 2), best AS ({_best_fields('')}) "
+        "p4_found": f"WITH {reports_sql()}, several AS (SELECT ts_code, end_date, report_type FROM reports GROUP BY ALL HAVING count(*) >= 2), best AS ({_best_fields('')}) "
         "SELECT b.ts_code, b.end_date, b.report_type, field_name, row_id FROM best b JOIN several s ON b.ts_code = s.ts_code AND b.end_date = s.end_date AND b.report_type IS NOT DISTINCT FROM s.report_type",
-        "p4_survivors": f"WITH {_reports()}, best AS ({_best_fields('')}), groups AS (SELECT ts_code, end_date, report_type, count(*) AS n_rows FROM reports GROUP BY ALL) "
-        f"SELECT g.ts_code, g.end_date, g.report_type, any_value(n_rows) AS n_rows, {', '.join(f'max(value) FILTER (field_name = {chr(39)}{f}{chr(39)}) AS {f}' for f in _REPORT_FIGURES)} "
+        "p4_survivors": f"WITH {reports_sql()}, best AS ({_best_fields('')}), groups AS (SELECT ts_code, end_date, report_type, count(*) AS n_rows FROM reports GROUP BY ALL) "
+        f"SELECT g.ts_code, g.end_date, g.report_type, any_value(n_rows) AS n_rows, {', '.join(f'max(value) FILTER (field_name = {chr(39)}{f}{chr(39)}) AS {f}' for f in REPORT_FIGURES)} "
         "FROM groups g LEFT JOIN best b ON b.ts_code = g.ts_code AND b.end_date = g.end_date AND b.report_type IS NOT DISTINCT FROM g.report_type GROUP BY 1, 2, 3",
         "p5_found": f"WITH {_LATEST}, w AS (SELECT ts_code, d, sum(v) OVER {frame(7)} AS s7, sum(v) OVER {frame(30)} AS s30 FROM dense) "
         "SELECT ts_code, strftime(d, '%Y%m%d') AS cal_day, CAST(7 AS INT) AS window_days FROM w WHERE s7 = 0 UNION ALL SELECT ts_code, strftime(d, '%Y%m%d'), CAST(30 AS INT) FROM w WHERE s30 = 0",
         "p5_trailing": f"WITH {_LATEST} SELECT ts_code, strftime(d, '%Y%m%d') AS cal_day, {trail} FROM dense",
-        "p6_found": _SNAPSHOTS.rstrip() + f""", {_reports()},
+        "p6_found": _SNAPSHOTS.rstrip() + f""", {reports_sql()},
 p AS (SELECT position_id, {_code("ts_code")} AS ts_code, {_index("index_code")} AS index_code, {_day("trade_date")} AS day FROM positions WHERE upper(trim(record_type)) = 'POSITION' AND position_id IS NOT NULL),
 inc AS (SELECT position_id, row_id FROM p JOIN reports r ON r.ts_code = p.ts_code AND r.report_type = '1' AND r.known < p.day AND r.end_date <= p.day
   QUALIFY row_number() OVER (PARTITION BY position_id ORDER BY r.end_date DESC, known DESC, updated DESC, source_order DESC, row_id) = 1),

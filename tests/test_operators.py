@@ -26,6 +26,7 @@ def test_spellings(spark):
     ("12.5 lots", 12.5, "lot"), ("1,234,500shares", 1234500, "share"), ("0.9900 10k shares", 0.99, "ten thousand shares"), ("１２．５万股", 12.5, "ten thousand shares"),
     ("1.0883e+02 X10^4 Shares", 108.83, "ten thousand shares"), ("lots 10564", 10564, "lot"), ("3 万手", 3, "ten thousand lots"), ("N/A", None, None), ("", None, None), ("7 bushels", 7, None),
     ("-5 手", -5, "lot"), ("4 m shares", 4, "million shares"), ("100 sharesh", 100, None), ("12 " + "x" * 100_000, 12, None),
+    ("2022 report: 12.5 lots", 12.5, "lot"), ("lot 7 of 2022", 7, "lot"),
 ])
 def test_unit_finder_volume(text, number, unit):
     assert units.UnitFinder("volume").read(text) == (number, unit)
@@ -39,6 +40,20 @@ def test_unit_finder_money(text, number, unit):
     assert units.UnitFinder("money").read(text) == (number, unit)
 
 
+def test_units_stated_by_an_alias(spark):
+    """Aliases count in feed_units too; a unit that can't be read is reported and states nothing."""
+    stated = [("f", "stock", "vol", "万股", "20220101", None), ("f", "stock", "amount", "千元", None, None), ("g", "stock", "vol", "bushels", None, None), ("g", "stock", "amount", " K CNY ", None, None)]
+    feed_units = spark.createDataFrame(stated, "feed string, asset_type string, field_name string, unit_text string, valid_from string, valid_until string")
+    got = {(r["feed"], r["field_name"]): (r["pow10"], r["readable"], r["valid_from"]) for r in units.stated_units(feed_units).collect()}
+    assert got == {("f", "vol"): (4, True, "20220101"), ("f", "amount"): (3, True, "00010101"), ("g", "vol"): (None, False, "00010101"), ("g", "amount"): (3, True, "00010101")}
+    schema = "row_id long, feed string, asset_type string, trade_date string, open double, high double, low double, close double, vol string, vol_unit string, amount string, amount_unit string"
+    rows = [(1, "f", "stock", "20220105", 10.0, 10.0, 10.0, 10.0, "5", None, "500", None), (2, "f", "stock", "20220105", 10.0, 10.0, 10.0, 10.0, "50000", "股", "500", None), (3, "g", "stock", "20220105", 10.0, 10.0, 10.0, 10.0, "5", "lot", "5", None)]
+    fed = {r["row_id"]: r for r in units.resolve_feed_units(spark.createDataFrame(rows, schema), feed_units).collect()}
+    assert (fed[1]["vol_stated"], fed[1]["vol_pow10"], fed[1]["amount_pow10"]) == (4, 4, 3)
+    assert (fed[2]["vol_stated"], fed[2]["vol_pow10"]) == (4, 0)
+    assert (fed[3]["vol_stated"], fed[3]["vol_pow10"], fed[3]["amount_pow10"]) == (None, 2, 3)
+
+
 def test_difference_of_sorted_arrays():
     keys, kinds = snapshots.difference(np.array([1, 3, 5]), np.array([1, 1, 1]), np.array([3, 5, 9]), np.array([1, 2, 1]))
     assert sorted(zip(keys.tolist(), snapshots.KINDS[kinds].tolist(), strict=True)) == [(1, "removed"), (5, "changed"), (9, "added")]
