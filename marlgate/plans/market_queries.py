@@ -13,7 +13,7 @@ from marlgate.operators import analysis, performance, portal, quality, research
 from marlgate.operators.snapshots import index_snapshots
 from marlgate.operators.trailing import latest_bars
 from marlgate.plans.compiler import evaluate
-from marlgate.plans.data_queries import _LATEST, _SNAPSHOTS, _code, _day, _index, _reports
+from marlgate.plans.data_queries import _LATEST, _SNAPSHOTS, _code, _day, _index, reports_sql
 from marlgate.plans.factor_queries import PANEL_SQL, monthly_panel
 from marlgate.plans.sqltext import steps_of
 from marlgate.session import shared_dir
@@ -298,7 +298,7 @@ def oracle_sql() -> dict[str, str]:
         "prices_hfq": _adjusted_sql("hfq"), "prices_qfq": _adjusted_sql("qfq"),
         "asof_close": f"WITH {_LATEST}, p AS (SELECT * FROM (SELECT position_id, {_code('ts_code')} AS ts_code, CAST(try_strptime({_day('trade_date')}, '%Y%m%d') AS DATE) AS day FROM positions WHERE upper(trim(record_type)) = 'POSITION') WHERE ts_code IS NOT NULL AND day IS NOT NULL) "
         "SELECT position_id, p.ts_code, close, strftime(b.d, '%Y%m%d') AS known_day FROM p ASOF LEFT JOIN (SELECT * FROM bars WHERE close IS NOT NULL) b ON b.ts_code = p.ts_code AND b.d < p.day",
-        "statements_known": f"WITH {_reports()}, v AS (SELECT * FROM reports WHERE report_type = '1' AND known < '20221001' AND end_date <= '20221001' QUALIFY row_number() OVER (PARTITION BY ts_code, end_date ORDER BY known DESC, updated DESC, source_order DESC) = 1) "
+        "statements_known": f"WITH {reports_sql()}, v AS (SELECT * FROM reports WHERE report_type = '1' AND known < '20221001' AND end_date <= '20221001' QUALIFY row_number() OVER (PARTITION BY ts_code, end_date ORDER BY known DESC, updated DESC, source_order DESC) = 1) "
         "SELECT ts_code, end_date, known AS effective_ann_date, revenue, n_income FROM v QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY end_date DESC) <= 2",
         "constituents_known": _SNAPSHOTS + "SELECT index_code, snapshot_date, con_code FROM w JOIN (SELECT index_code, max(snapshot_date) AS snapshot_date FROM w WHERE snapshot_date < '20220915' GROUP BY 1) USING (index_code, snapshot_date)",
         "snapshot_intervals": _SNAPSHOTS + "SELECT index_code, snapshot_date, lead(snapshot_date) OVER (PARTITION BY index_code ORDER BY snapshot_date) AS valid_until FROM (SELECT DISTINCT index_code, snapshot_date FROM w)",
