@@ -93,3 +93,21 @@ def share_report(mixture: DataFrame, mix_targets: DataFrame) -> DataFrame:
     joined = mix_targets.select("source", "target_share", "max_repeat").join(used, "source", "left").fillna(0, ["texts", "tokens", "most_uses"])
     everything = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
     return joined.withColumn("actual_share", F.try_divide("tokens", everything))
+
+
+def audit(mixture: DataFrame, sizes: DataFrame, targets: list[tuple[str, float, int]]) -> DataFrame:
+    """By source: target, cap, and what must be none: texts used beyond the cap, texts used neither as often as the complete
+    epochs nor once more, and texts by which the budget is missed (a whole one or more)."""
+    spark = sizes.sparkSession
+    rows = sizes.where(F.col("source").isin([s for s, _, _ in targets]) & (F.col("n_tokens") > 0))
+    known = rows.groupBy("source").agg(F.sum("n_tokens").alias("total"), F.max("n_tokens").alias("longest"))
+    plan = budgets({r["source"]: r["total"] for r in known.select("source", "total").collect()}, targets)
+    wanted = [(s, share, repeat, plan[s][0], plan[s][2]) for s, share, repeat in targets if s in plan]
+    planned = spark.createDataFrame(wanted, "source string, target_share double, max_repeat int, epochs bigint, budget bigint")
+    used = rows.join(mixture.select("doc_id", "source", "uses"), ["doc_id", "source"], "left").withColumn("uses", F.coalesce("uses", F.lit(0))).join(F.broadcast(planned), "source")
+    told = used.groupBy("source", "target_share", "max_repeat", "budget").agg(
+        F.count_if(F.col("uses") > F.col("max_repeat")).alias("beyond_repeat"), F.count_if(~(F.col("uses") - F.col("epochs")).isin(0, 1)).alias("uneven_epochs"),
+        F.sum(F.col("uses") * F.col("n_tokens")).alias("tokens"), F.max("n_tokens").alias("longest"),
+    )
+    missed = F.floor(F.greatest(F.col("budget") - F.col("tokens"), F.col("tokens") - F.col("budget")) / (F.col("longest") + 1)).cast("bigint")
+    return told.select("source", "target_share", "max_repeat", "beyond_repeat", "uneven_epochs", missed.alias("texts_missed"))
