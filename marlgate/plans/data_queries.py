@@ -1,4 +1,4 @@
-"""Queries p1 to p7 over the test tables, each with SQL for an independent engine where SQL can say it."""
+"""Queries p1 to p3 and p5 to p7 over the test tables, each with SQL for an independent engine where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlgate.operators import incremental, knowntime, profile, snapshots, survivorship, trailing, units
+from marlgate.operators import incremental, knowntime, profile, snapshots, trailing, units
 from marlgate.sources.testbed import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,16 +35,6 @@ def pending_records(stock_daily: DataFrame, income: DataFrame, runs: DataFrame)
     )
 
 
-def survivor_values(income: DataFrame) -> DataFrame:
-    best = survivorship.surviving_reports(income)
-    return best.select(*survivorship.RECORD, "n_rows", *[F.col(f"{f}.value").alias(f) for f in survivorship.FIGURES])
-
-
-def profiles(stock_daily: DataFrame, income: DataFrame, daily: DataFrame) -> DataFrame:
-    a, b, c = (profile.column_profile(t, n) for t, n in ((stock_daily, "stock_daily"), (income, "income"), (daily, "daily")))
-    return a.unionByName(b).unionByName(c).drop("low", "high")
-
-
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _over(units.unit_cases, "daily", "stock_daily", "feed_units"),
@@ -54,13 +44,10 @@ def queries() -> dict[str, Query]:
         "p2_weights": _over(snapshots.constituent_changes, "index_weight"),
         "p3_found": _over(found_increments, "stock_daily", "income", "update_runs"),
         "p3_pending": _over(pending_records, "stock_daily", "income", "update_runs"),
-        "p4_found": _over(survivorship.supplying_rows, "income"),
-        "p4_survivors": _over(survivor_values, "income"),
         "p5_found": _over(trailing.idle_days, "stock_daily"),
         "p5_trailing": _over(trailing.stock_trailing, "stock_daily"),
         "p6_found": _over(knowntime.known_at_trade, "positions", "income", "index_weight"),
         "p7_found": _over(profile.quality_findings, "stock_daily", "income"),
-        "p7_profile": _over(profiles, "stock_daily", "income", "daily"),
     }
 
 
@@ -174,7 +161,7 @@ SELECT '{name}' AS dataset, n.row_id{outs} FROM n LEFT JOIN b USING ({using}) WH
 
 
 _BAR_FIGURES = ["open", "high", "low", "close", "pre_close", "volume", "turnover"]
-REPORT_FIGURES = list(survivorship.FIGURES)
+REPORT_FIGURES = ["basic_eps", "total_revenue", "revenue", "operate_profit", "n_income", "rd_exp"]
 _LATEST = f"""latest AS (SELECT {_code("ts_code")} AS ts_code, CAST(try_strptime({_day("trade_date")}, '%Y%m%d') AS DATE) AS d, close, volume, load_id, row_id FROM stock_daily
   WHERE ({_code("ts_code")}) IS NOT NULL AND ({_day("trade_date")}) IS NOT NULL),
 bars AS (SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY ts_code, d ORDER BY load_id DESC, row_id DESC, close DESC NULLS LAST, volume DESC NULLS LAST) = 1),
@@ -190,14 +177,6 @@ def reports_sql() -> str:
 reports AS (SELECT * FROM versions WHERE ts_code IS NOT NULL AND end_date IS NOT NULL)"""
 
 
-def _best_fields(outer: str) -> str:
-    return " UNION ALL ".join(
-        f"(SELECT ts_code, end_date, report_type, '{f}' AS field_name, row_id, {f} AS value FROM reports WHERE {f} IS NOT NULL "
-        f"QUALIFY row_number() OVER (PARTITION BY ts_code, end_date, report_type ORDER BY known DESC NULLS LAST, updated DESC, source_order DESC NULLS LAST, row_id) = 1)"
-        for f in REPORT_FIGURES
-    )
-
-
 def _rules_sql() -> str:
     blank = lambda c: f"coalesce(trim({c}), '') = ''"
     eight = lambda c: f"coalesce(regexp_matches({c}, '^[0-9]{{8}}$') AND try_strptime({c}, '%Y%m%d') IS NOT NULL, false)"
@@ -229,11 +208,6 @@ def oracle_sql() -> dict[str, str]:
         f"round(sum(v) OVER {frame(n)}, 2) AS volume_total_{n}, round(sum(v) OVER {frame(n)} / nullif(sum(vn) OVER {frame(n)}, 0), 6) AS volume_average_{n}, "
         f"round(sum(c) OVER {frame(n)}, 4) AS close_total_{n}, round(sum(c) OVER {frame(n)} / nullif(sum(cn) OVER {frame(n)}, 0), 6) AS close_average_{n}" for n in (7, 30)
     )
-    profile_columns = {
-        "stock_daily": ["row_id", "trade_date", "ts_code", *_BAR_FIGURES, "load_id", "loaded_at"],
-        "income": ["row_id", "ts_code", "ann_date", "f_ann_date", "end_date", "report_type", "comp_type", "end_type", *REPORT_FIGURES, "update_flag", "source_order", "load_id"],
-        "daily": ["row_id", "feed", "asset_type", "ts_code", "trade_date", "open", "high", "low", "close", "pre_close", "pct_chg", "vol", "vol_unit", "amount", "amount_unit", "received_at"],
-    }
     return {
         "p1_found": _figures() + " SELECT src_table, row_id, field_name, CAST(pow10 AS INT) AS pow10 FROM figures WHERE number <> 0 AND pow10 <> says",
         "p1_converted": _figures() + " SELECT src_table, row_id, field_name, CASE WHEN pow10 >= 0 THEN number * pow(10.0, pow10) ELSE number / pow(10.0, -pow10) END AS common_value FROM figures",
@@ -243,11 +217,6 @@ def oracle_sql() -> dict[str, str]:
         "p2_weights": _SNAPSHOTS + "SELECT * FROM c",
         "p3_found": _increment("stock_daily", bar_keys, _BAR_FIGURES, "") + " UNION ALL " + _increment("income", report_keys, report_compared, ""),
         "p3_pending": _increment("stock_daily", bar_keys, _BAR_FIGURES, more("trade_date")) + " UNION ALL " + _increment("income", report_keys, report_compared, more("end_date")),
-        "p4_found": f"WITH {reports_sql()}, several AS (SELECT ts_code, end_date, report_type FROM reports GROUP BY ALL HAVING count(*) >= 2), best AS ({_best_fields('')}) "
-        "SELECT b.ts_code, b.end_date, b.report_type, field_name, row_id FROM best b JOIN several s ON b.ts_code = s.ts_code AND b.end_date = s.end_date AND b.report_type IS NOT DISTINCT FROM s.report_type",
-        "p4_survivors": f"WITH {reports_sql()}, best AS ({_best_fields('')}), groups AS (SELECT ts_code, end_date, report_type, count(*) AS n_rows FROM reports GROUP BY ALL) "
-        f"SELECT g.ts_code, g.end_date, g.report_type, any_value(n_rows) AS n_rows, {', '.join(f'max(value) FILTER (field_name = {chr(39)}{f}{chr(39)}) AS {f}' for f in REPORT_FIGURES)} "
-        "FROM groups g LEFT JOIN best b ON b.ts_code = g.ts_code AND b.end_date = g.end_date AND b.report_type IS NOT DISTINCT FROM g.report_type GROUP BY 1, 2, 3",
         "p5_found": f"WITH {_LATEST}, w AS (SELECT ts_code, d, sum(v) OVER {frame(7)} AS s7, sum(v) OVER {frame(30)} AS s30 FROM dense) "
         "SELECT ts_code, strftime(d, '%Y%m%d') AS cal_day, CAST(7 AS INT) AS window_days FROM w WHERE s7 = 0 UNION ALL SELECT ts_code, strftime(d, '%Y%m%d'), CAST(30 AS INT) FROM w WHERE s30 = 0",
         "p5_trailing": f"WITH {_LATEST} SELECT ts_code, strftime(d, '%Y%m%d') AS cal_day, {trail} FROM dense",
@@ -259,8 +228,4 @@ snap AS (SELECT position_id, p.ts_code, p.index_code, max(snapshot_date) AS snap
 SELECT position_id, 'income' AS kind, CAST(row_id AS VARCHAR) AS ref FROM inc
 UNION ALL SELECT position_id, 'index_weight', snap.snapshot_date FROM snap JOIN w ON w.index_code = snap.index_code AND w.snapshot_date = snap.snapshot_date AND w.con_code = snap.ts_code""",
         "p7_found": _rules_sql(),
-        "p7_profile": " UNION ALL ".join(
-            f"SELECT '{t}' AS src_table, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct FROM {t}"
-            for t, columns in profile_columns.items() for c in columns
-        ),
     }

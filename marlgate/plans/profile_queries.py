@@ -1,7 +1,4 @@
-"""The whole profile: every column of the large tables, with ranges, and SQL for an independent engine.
-
-``p7_profile`` keeps its columns and tables; what it leaves out (ranges, ``documents``, ``index_weight``, ``positions``) is here.
-"""
+"""The profile of every column of the large tables, with ranges, and SQL for an independent engine."""
 
 from __future__ import annotations
 
@@ -38,7 +35,7 @@ def ranges(source: DataFrame, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p7_ranges": lambda spark, folder: reduce(DataFrame.unionByName, [ranges(table(spark, folder, name), name) for name in COLUMNS])}
+    return {"p7_profile": lambda spark, folder: reduce(DataFrame.unionByName, [ranges(table(spark, folder, name), name) for name in COLUMNS])}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -50,4 +47,4 @@ def oracle_sql() -> dict[str, str]:
             f"{text[0]} AS low, {text[1]} AS high, {number[0]} AS low_number, {number[1]} AS high_number FROM {name}"
         )
 
-    return {"p7_ranges": " UNION ALL ".join(side(name, c, i == 1) for name, both in COLUMNS.items() for i, part in enumerate(both.split("|")) for c in part.split())}
+    return {"p7_profile": " UNION ALL ".join(side(name, c, i == 1) for name, both in COLUMNS.items() for i, part in enumerate(both.split("|")) for c in part.split())}

@@ -184,4 +184,4 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     names = set(entry.queries())
-    assert set(entry.oracle_sql()) <= names and {"p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p6_found", "p7_found"} <= names
+    assert set(entry.oracle_sql()) <= names and {"p1_found", "p2_found", "p3_found", "p5_found", "p6_found", "p7_found"} <= names

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marlgate.functions import normalize as norm
-from marlgate.operators import incremental, profile, snapshots, survivorship, trailing, units
+from marlgate.operators import incremental, profile, snapshots, trailing, units
 from marlgate.operators.knowntime import PersistentTree, known_facts
 
 
@@ -127,14 +127,6 @@ def test_trailing_windows_equal_plain_sums(spark):
         trailing.trailing_sums(frame, "e", "d", ["v"], [0])
 
 
-def test_survivor_takes_each_field_from_its_best_row(spark):
-    rows = [(1, "k", 1, 5.0, None), (2, "k", 3, None, 1.0), (3, "k", 2, 7.0, 2.0), (4, "k", 2, 8.0, None), (5, None, 1, float("nan"), None)]
-    frame = spark.createDataFrame(rows, "row_id long, key string, p int, a double, b double").withColumn("a", norm.as_number("a"))
-    got = {r["key"]: r for r in survivorship.survivors(frame, ["key"], ["p"], ["a", "b"]).collect()}
-    assert got["k"]["n_rows"] == 4 and got["k"]["a"]["row_id"] == 3 and got["k"]["b"]["value"] == 1.0
-    assert got[None]["a"] is None and got[None]["b"] is None
-
-
 def log(spark, rows):
     schema = "row_id long, trade_date string, ts_code string, open double, high double, low double, close double, pre_close double, volume double, turnover double, load_id int"
     return spark.createDataFrame([(i, d, c, 1.0, 1.0, 1.0, float(p), 1.0, 1.0, 1.0, load) for i, d, c, p, load in rows], schema)

@@ -14,11 +14,11 @@ TABLES = ["stock_daily", "income", "daily", "documents", "index_weight", "positi
 @pytest.mark.parametrize("kind", ["plain", "empty", "nulls", "doubled"])
 def test_ranges_equal_sql(spark, tmp_path, kind):
     folder = variant(str(tmp_path), kind, TABLES)
-    assert spark_rows(entry.queries()["p7_ranges"](spark, folder)) == sql_rows(folder, entry.oracle_sql()["p7_ranges"])
+    assert spark_rows(entry.queries()["p7_profile"](spark, folder)) == sql_rows(folder, entry.oracle_sql()["p7_profile"])
 
 
 def test_every_column_has_its_range(spark, data):
-    rows = entry.queries()["p7_ranges"](spark, data).collect()
+    rows = entry.queries()["p7_profile"](spark, data).collect()
     assert {(r["src_table"], r["column_name"]) for r in rows} == {(t, c) for t in TABLES for c in pq.read_schema(f"{DATA}/{t}.parquet").names}
     for r in rows:
         if r["n_null"] < r["n_rows"]:
