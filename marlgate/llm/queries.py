@@ -52,6 +52,11 @@ def mixing_audit(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.audit(mixing.mix(sizes, targets), sizes, targets)
 
 
+def finding_audit(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return pii.audit(documents, cut(pii.find_personal(documents, table(spark, folder, "known_names"))))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p4_found": lambda spark, folder: survivorship.supplying_rows(table(spark, folder, "income")),
@@ -63,6 +68,7 @@ def queries() -> dict[str, Query]:
         "p9_shares": lambda spark, folder: mixing.share_report(mixture(spark, folder), table(spark, folder, "mix_targets")),
         "p9_audit": mixing_audit,
         "p10_found": lambda spark, folder: pii.find_personal(table(spark, folder, "documents"), table(spark, folder, "known_names")),
+        "p10_audit": finding_audit,
         "p10_redacted": lambda spark, folder: pii.redact_personal(table(spark, folder, "documents"), table(spark, folder, "known_names")),
     }
 
@@ -85,5 +91,6 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT g.ts_code, g.end_date, g.report_type, any_value(n_rows) AS n_rows, {values} "
         "FROM groups g LEFT JOIN best b ON b.ts_code = g.ts_code AND b.end_date = g.end_date AND b.report_type IS NOT DISTINCT FROM g.report_type GROUP BY 1, 2, 3",
         "p8_audit": f"SELECT container, capacity_tokens AS capacity, (SELECT count(DISTINCT doc_id) FROM documents WHERE length(text) > 0) AS documents, {none('overfull', 'split_needlessly', 'wrongly_placed')} FROM containers",
+        "p10_audit": f"SELECT count(DISTINCT doc_id) AS documents, {none('not_in_text', 'of_no_kind', 'named_twice')} FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0",
         "p9_audit": f"SELECT source, target_share, max_repeat, {none('beyond_repeat', 'uneven_epochs', 'texts_missed')} FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE length(text) > 0)",
     }
