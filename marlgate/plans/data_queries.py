@@ -52,7 +52,7 @@ def queries() -> dict[str, Query]:
 
 
 # SQL ------------------------------------------------------------------------------------------------------------------
-def _code(c: str) -> str:
+def code_sql(c: str) -> str:
     u = f"upper(trim({c}))"
     return (
         f"CASE WHEN regexp_matches({u}, '^[0-9]{{6}}[.](SZ|SH|BJ)$') THEN {u} "
@@ -61,7 +61,7 @@ def _code(c: str) -> str:
     )
 
 
-def _day(c: str) -> str:
+def day_sql(c: str) -> str:
     t = f"trim({c})"
     return (
         f"CASE WHEN regexp_matches({t}, '^[0-9]{{8}}$') THEN strftime(try_strptime({t}, '%Y%m%d'), '%Y%m%d') "
@@ -70,7 +70,7 @@ def _day(c: str) -> str:
     )
 
 
-def _index(c: str) -> str:
+def index_sql(c: str) -> str:
     return f"CASE WHEN regexp_matches(upper(trim({c})), '^[0-9]{{6}}[.]CSI$') THEN upper(trim({c})) END"
 
 
@@ -130,7 +130,7 @@ figures AS (
   UNION ALL SELECT 'stock_daily', row_id, 'turnover', m, CASE off WHEN -3 THEN 3 WHEN -4 THEN 4 WHEN -8 THEN 8 WHEN -1 THEN 3 ELSE 0 END, 0 FROM bars)"""
 
 
-_SNAPSHOTS = f"""WITH r AS (SELECT {_index("index_code")} AS index_code, {_day("snapshot_date")} AS snapshot_date, {_code("con_code")} AS con_code, weight, delivery, source_order FROM index_weight),
+_SNAPSHOTS = f"""WITH r AS (SELECT {index_sql("index_code")} AS index_code, {day_sql("snapshot_date")} AS snapshot_date, {code_sql("con_code")} AS con_code, weight, delivery, source_order FROM index_weight),
 best AS (SELECT index_code, snapshot_date, max(delivery) AS delivery FROM r WHERE index_code IS NOT NULL AND snapshot_date IS NOT NULL GROUP BY ALL),
 kept AS (SELECT r.* FROM r JOIN best USING (index_code, snapshot_date, delivery) WHERE con_code IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY index_code, snapshot_date, con_code ORDER BY source_order DESC, weight DESC NULLS LAST) = 1),
@@ -162,8 +162,8 @@ SELECT '{name}' AS dataset, n.row_id{outs} FROM n LEFT JOIN b USING ({using}) WH
 
 _BAR_FIGURES = ["open", "high", "low", "close", "pre_close", "volume", "turnover"]
 REPORT_FIGURES = ["basic_eps", "total_revenue", "revenue", "operate_profit", "n_income", "rd_exp"]
-_LATEST = f"""latest AS (SELECT {_code("ts_code")} AS ts_code, CAST(try_strptime({_day("trade_date")}, '%Y%m%d') AS DATE) AS d, close, volume, load_id, row_id FROM stock_daily
-  WHERE ({_code("ts_code")}) IS NOT NULL AND ({_day("trade_date")}) IS NOT NULL),
+_LATEST = f"""latest AS (SELECT {code_sql("ts_code")} AS ts_code, CAST(try_strptime({day_sql("trade_date")}, '%Y%m%d') AS DATE) AS d, close, volume, load_id, row_id FROM stock_daily
+  WHERE ({code_sql("ts_code")}) IS NOT NULL AND ({day_sql("trade_date")}) IS NOT NULL),
 bars AS (SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY ts_code, d ORDER BY load_id DESC, row_id DESC, close DESC NULLS LAST, volume DESC NULLS LAST) = 1),
 spans AS (SELECT ts_code, min(d) AS a, max(d) AS b FROM bars GROUP BY 1),
 days AS (SELECT ts_code, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM spans),
@@ -172,7 +172,7 @@ dense AS (SELECT ts_code, d, CASE WHEN volume >= 0 THEN volume ELSE 0 END AS v,
 
 
 def reports_sql() -> str:
-    return f"""versions AS (SELECT {_code("ts_code")} AS ts_code, {_day("end_date")} AS end_date, {TYPE_DIGITS} AS report_type, {_day(EFFECTIVE)} AS known,
+    return f"""versions AS (SELECT {code_sql("ts_code")} AS ts_code, {day_sql("end_date")} AS end_date, {TYPE_DIGITS} AS report_type, {day_sql(EFFECTIVE)} AS known,
   coalesce(trim(update_flag) = '1', false) AS updated, source_order, row_id, {", ".join(REPORT_FIGURES)} FROM income),
 reports AS (SELECT * FROM versions WHERE ts_code IS NOT NULL AND end_date IS NOT NULL)"""
 
@@ -188,7 +188,7 @@ def _rules_sql() -> str:
     }
     reports = {
         "null_primary_key": f"{blank('ts_code')} OR {blank('ann_date')} OR {blank('end_date')}", "code_pattern": pattern, "valid_date": f"NOT ({blank('end_date')}) AND NOT {eight('end_date')}",
-        "finance_pit_dates": f"coalesce({EFFECTIVE}, '') IN ('', '0') OR ({_day('end_date')}) IS NULL OR ({_day(EFFECTIVE)}) < ({_day('end_date')})",
+        "finance_pit_dates": f"coalesce({EFFECTIVE}, '') IN ('', '0') OR ({day_sql('end_date')}) IS NULL OR ({day_sql(EFFECTIVE)}) < ({day_sql('end_date')})",
     }
     rows = [f"SELECT '{t}' AS src_table, '{n}' AS rule_name, row_id AS ref_id FROM {t} WHERE {w}" for t, rules in (("stock_daily", bars), ("income", reports)) for n, w in rules.items()]
     for c in _BAR_FIGURES:
@@ -199,8 +199,8 @@ WHERE n >= 10 AND (2 * nulls >= n OR m < 0.1 * g OR m > 10 * g)""")
 
 
 def oracle_sql() -> dict[str, str]:
-    bar_keys = f"{_code('ts_code')} AS ts_code;{_day('trade_date')} AS trade_date"
-    report_keys = f"{_code('ts_code')} AS ts_code;{_day('end_date')} AS end_date;{TYPE_DIGITS} AS report_type"
+    bar_keys = f"{code_sql('ts_code')} AS ts_code;{day_sql('trade_date')} AS trade_date"
+    report_keys = f"{code_sql('ts_code')} AS ts_code;{day_sql('end_date')} AS end_date;{TYPE_DIGITS} AS report_type"
     report_compared = ["ann_date", "f_ann_date", "update_flag", *REPORT_FIGURES]
     more = lambda day: f", n.load_id, n.ts_code, n.{day} AS range_day"
     frame = lambda n: f"(PARTITION BY ts_code ORDER BY d ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
@@ -211,7 +211,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _figures() + " SELECT src_table, row_id, field_name, CAST(pow10 AS INT) AS pow10 FROM figures WHERE number <> 0 AND pow10 <> says",
         "p1_converted": _figures() + " SELECT src_table, row_id, field_name, CASE WHEN pow10 >= 0 THEN number * pow(10.0, pow10) ELSE number / pow(10.0, -pow10) END AS common_value FROM figures",
-        "p1_stated": f"WITH alias(kind, a, p) AS (VALUES {_aliases()}) SELECT feed, asset_type, field_name, coalesce({_day('valid_from')}, '00010101') AS valid_from, CAST(p AS INT) AS pow10, p IS NOT NULL AS readable "
+        "p1_stated": f"WITH alias(kind, a, p) AS (VALUES {_aliases()}) SELECT feed, asset_type, field_name, coalesce({day_sql('valid_from')}, '00010101') AS valid_from, CAST(p AS INT) AS pow10, p IS NOT NULL AS readable "
         "FROM feed_units LEFT JOIN alias ON a = lower(trim(unit_text)) AND kind = CASE field_name WHEN 'vol' THEN 'volume' WHEN 'amount' THEN 'money' END",
         "p2_found": _SNAPSHOTS + "SELECT index_code, snapshot_date, con_code, change_kind FROM c",
         "p2_weights": _SNAPSHOTS + "SELECT * FROM c",
@@ -221,7 +221,7 @@ def oracle_sql() -> dict[str, str]:
         "SELECT ts_code, strftime(d, '%Y%m%d') AS cal_day, CAST(7 AS INT) AS window_days FROM w WHERE s7 = 0 UNION ALL SELECT ts_code, strftime(d, '%Y%m%d'), CAST(30 AS INT) FROM w WHERE s30 = 0",
         "p5_trailing": f"WITH {_LATEST} SELECT ts_code, strftime(d, '%Y%m%d') AS cal_day, {trail} FROM dense",
         "p6_found": _SNAPSHOTS.rstrip() + f""", {reports_sql()},
-p AS (SELECT position_id, {_code("ts_code")} AS ts_code, {_index("index_code")} AS index_code, {_day("trade_date")} AS day FROM positions WHERE upper(trim(record_type)) = 'POSITION' AND position_id IS NOT NULL),
+p AS (SELECT position_id, {code_sql("ts_code")} AS ts_code, {index_sql("index_code")} AS index_code, {day_sql("trade_date")} AS day FROM positions WHERE upper(trim(record_type)) = 'POSITION' AND position_id IS NOT NULL),
 inc AS (SELECT position_id, row_id FROM p JOIN reports r ON r.ts_code = p.ts_code AND r.report_type = '1' AND r.known < p.day AND r.end_date <= p.day
   QUALIFY row_number() OVER (PARTITION BY position_id ORDER BY r.end_date DESC, known DESC, updated DESC, source_order DESC, row_id) = 1),
 snap AS (SELECT position_id, p.ts_code, p.index_code, max(snapshot_date) AS snapshot_date FROM p JOIN (SELECT DISTINCT index_code, snapshot_date FROM w) s ON s.index_code = p.index_code AND s.snapshot_date < p.day WHERE p.ts_code IS NOT NULL GROUP BY ALL)

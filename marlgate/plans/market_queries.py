@@ -13,7 +13,7 @@ from marlgate.operators import analysis, performance, portal, quality, research
 from marlgate.operators.snapshots import index_snapshots
 from marlgate.operators.trailing import latest_bars
 from marlgate.plans.compiler import evaluate
-from marlgate.plans.data_queries import _LATEST, _SNAPSHOTS, _code, _day, _index, reports_sql
+from marlgate.plans.data_queries import _LATEST, _SNAPSHOTS, code_sql, day_sql, index_sql, reports_sql
 from marlgate.plans.factor_queries import PANEL_SQL, monthly_panel
 from marlgate.plans.sqltext import steps_of
 from marlgate.session import shared_dir
@@ -51,7 +51,7 @@ def log_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return rows.where(F.col("load_id") <= SPLIT), rows.where(F.col("load_id") > SPLIT)
 
 
-_LOG = f"log AS (SELECT * FROM (SELECT {_code('ts_code')} AS ts_code, {_day('trade_date')} AS trade_date, close, load_id, row_id FROM stock_daily) WHERE ts_code IS NOT NULL AND trade_date IS NOT NULL)"
+_LOG = f"log AS (SELECT * FROM (SELECT {code_sql('ts_code')} AS ts_code, {day_sql('trade_date')} AS trade_date, close, load_id, row_id FROM stock_daily) WHERE ts_code IS NOT NULL AND trade_date IS NOT NULL)"
 
 
 # --- point in time ------------------------------------------------------------------------------------------------------
@@ -240,8 +240,8 @@ def queries() -> dict[str, Query]:
         "prices_hfq": adjusted("hfq"), "prices_qfq": adjusted("qfq"),
         "asof_close": close_before_trade,
         "statements_known": lambda s, d: portal.statements_known(reports(s, d), "20221001", ["revenue", "n_income"], "1", 2),
-        "constituents_known": lambda s, d: portal.members_on(index_snapshots(t(s, d, "index_weight")), "20220915").select(F.col("series").alias("index_code"), F.col("snapshot").alias("snapshot_date"), F.col("item").alias("con_code")),
-        "snapshot_intervals": lambda s, d: portal.snapshot_intervals(index_snapshots(t(s, d, "index_weight"))).withColumnsRenamed({"series": "index_code", "snapshot": "snapshot_date"}),
+        "constituents_known": lambda s, d: portal.members_on(index_snapshots(t(s, d, "index_weight"))[0], "20220915").select(F.col("series").alias("index_code"), F.col("snapshot").alias("snapshot_date"), F.col("item").alias("con_code")),
+        "snapshot_intervals": lambda s, d: portal.snapshot_intervals(index_snapshots(t(s, d, "index_weight"))[0]).withColumnsRenamed({"series": "index_code", "snapshot": "snapshot_date"}),
         "universe_mask": universe, "benchmark_returns": benchmark,
         "analysis_information": _rounded(analysis.information, "ic", "rank_ic"),
         "analysis_neutral": _rounded(lambda x: analysis.neutralized(x).select("asset", "session", "f"), "f"),
@@ -296,7 +296,7 @@ def oracle_sql() -> dict[str, str]:
         "calendar_problems": "SELECT exchange, cal_date, 'broken chain' AS problem FROM (SELECT *, max(CASE WHEN is_open = 1 THEN cal_date END) OVER (PARTITION BY exchange ORDER BY cal_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM trade_cal) WHERE is_open = 1 AND p <> pretrade_date",
         "calendar_window": "SELECT session, session_idx FROM (SELECT cal_date AS session, row_number() OVER (ORDER BY cal_date) - 1 AS session_idx FROM (SELECT DISTINCT cal_date FROM trade_cal WHERE exchange = 'SZSE' AND is_open = 1)) WHERE session <= '20220701' ORDER BY session DESC LIMIT 20",
         "prices_hfq": _adjusted_sql("hfq"), "prices_qfq": _adjusted_sql("qfq"),
-        "asof_close": f"WITH {_LATEST}, p AS (SELECT * FROM (SELECT position_id, {_code('ts_code')} AS ts_code, CAST(try_strptime({_day('trade_date')}, '%Y%m%d') AS DATE) AS day FROM positions WHERE upper(trim(record_type)) = 'POSITION') WHERE ts_code IS NOT NULL AND day IS NOT NULL) "
+        "asof_close": f"WITH {_LATEST}, p AS (SELECT * FROM (SELECT position_id, {code_sql('ts_code')} AS ts_code, CAST(try_strptime({day_sql('trade_date')}, '%Y%m%d') AS DATE) AS day FROM positions WHERE upper(trim(record_type)) = 'POSITION') WHERE ts_code IS NOT NULL AND day IS NOT NULL) "
         "SELECT position_id, p.ts_code, close, strftime(b.d, '%Y%m%d') AS known_day FROM p ASOF LEFT JOIN (SELECT * FROM bars WHERE close IS NOT NULL) b ON b.ts_code = p.ts_code AND b.d < p.day",
         "statements_known": f"WITH {reports_sql()}, v AS (SELECT * FROM reports WHERE report_type = '1' AND known < '20221001' AND end_date <= '20221001' QUALIFY row_number() OVER (PARTITION BY ts_code, end_date ORDER BY known DESC, updated DESC, source_order DESC) = 1) "
         "SELECT ts_code, end_date, known AS effective_ann_date, revenue, n_income FROM v QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY end_date DESC) <= 2",

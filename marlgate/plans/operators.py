@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import comb
 
 from marlgate.plans.algebra import (
     Term, above, as_term, below, call, choose, condition, diff, ema, equal, ewm, lit, number, present, roll, shift,
@@ -14,7 +15,10 @@ from marlgate.plans.algebra import (
 class Operator:
     name: str
     build: Callable[..., Term]
-    signature: str  # one letter an argument: x series, w window of 1 or more, z window of 0 or more, f number; ? optional from here
+    signature: str  # one letter an argument: w window of 1 or more, z window of 0 or more, f number, any other a series; ? optional from here
+
+    # what a series is meant to hold: x any, y a second one, o h l k the open, high, low and close, v a volume, c a condition,
+    # d signed, r about one, p a power, u between 0 and 1
 
 
 OPERATORS: dict[str, Operator] = {}
@@ -50,10 +54,10 @@ def apply(name: str, args: list[Term]) -> Term:
         raise ValueError(f"{op.name} takes {len(need)}{f' to {len(letters)}' if optional else ''} arguments, got {len(args)}")
     ready: list[object] = []
     for letter, arg in zip(letters, args, strict=False):
-        if letter == "x":
-            ready.append(arg)
-        elif letter == "f":
+        if letter == "f":
             ready.append(literal(arg, f"{op.name}'s parameter"))
+        elif letter not in "wz":
+            ready.append(arg)
         else:
             value, least = literal(arg, f"{op.name}'s window"), 1 if letter == "w" else 0
             if value != int(value) or value < least:
@@ -63,22 +67,22 @@ def apply(name: str, args: list[Term]) -> Term:
 
 
 # --- within a cell ------------------------------------------------------------------------------------------------------
-operator("ABS", "x")(lambda x: call("abs", x))
+operator("ABS", "d")(lambda x: call("abs", x))
 operator("LOG", "x")(lambda x: call("ln", x))
-operator("LOGABS", "x")(lambda x: call("ln", call("abs", x)))
-operator("AS_FLOAT", "x")(number)
+operator("LOGABS", "d")(lambda x: call("ln", call("abs", x)))
+operator("AS_FLOAT", "c")(number)
 operator("RD", "x?f")(lambda x, d=2.0: call("half_even", x, params=(int(d),)))
-operator("SIGN", "x")(lambda x: call("sign", x))
-operator("POWER", "xx")(lambda x, y: number(x) ** y)
-operator("SIGNEDPOWER", "xx")(lambda x, y: call("sign", x) * call("abs", x) ** y)
-operator("MAX", "xx")(lambda x, y: choose(present(x) & present(y), call("greatest", x, y)))
-operator("MIN", "xx")(lambda x, y: choose(present(x) & present(y), call("least", x, y)))
-operator("MEAN", "xx")(lambda x, y: (number(x) + y) / 2.0)
-operator("EQUAL", "xx")(equal)
-operator("VALUEWHEN", "xx")(lambda c, y: choose(c, y))
-operator("IF", "xxx")(choose)
-operator("PPO", "xx")(lambda x, y: (number(x) - y) / y * 100.0)
-operator("BOLLINGERDIFF", "xx")(lambda x, y: 2.0 * (number(x) - y))
+operator("SIGN", "d")(lambda x: call("sign", x))
+operator("POWER", "xp")(lambda x, y: number(x) ** y)
+operator("SIGNEDPOWER", "dp")(lambda x, y: call("sign", x) * call("abs", x) ** y)
+operator("MAX", "xy")(lambda x, y: choose(present(x) & present(y), call("greatest", x, y)))
+operator("MIN", "xy")(lambda x, y: choose(present(x) & present(y), call("least", x, y)))
+operator("MEAN", "hl")(lambda x, y: (number(x) + y) / 2.0)
+operator("EQUAL", "kh")(equal)
+operator("VALUEWHEN", "cx")(lambda c, y: choose(c, y))
+operator("IF", "cxy")(choose)
+operator("PPO", "xy")(lambda x, y: (number(x) - y) / y * 100.0)
+operator("BOLLINGERDIFF", "hl")(lambda x, y: 2.0 * (number(x) - y))
 
 
 # --- across a session's assets ------------------------------------------------------------------------------------------
@@ -103,7 +107,7 @@ operator("ROC PCT_CHANGE RETURNS", "xw")(lambda x, n: number(x) / shift(x, n) -
 operator("FUTURE_RETURNS", "xw")(lambda x, n: shift(x, -n) / x - 1.0)
 operator("MA TS_MEAN ADV", "xw")(lambda x, n: roll("mean", x, n))
 operator("SUM", "xw")(lambda x, n: roll("sum", x, n))
-operator("PRODUCT", "xw")(lambda x, n: roll("product", x, n))
+operator("PRODUCT", "rw")(lambda x, n: roll("product", x, n))
 operator("STD STDDEV", "xw")(lambda x, n: roll("std", x, n))
 operator("VAR", "xw")(lambda x, n: roll("var", x, n))
 operator("TS_MAX", "xw")(lambda x, n: roll("max", x, n))
@@ -115,21 +119,21 @@ operator("TS_ARGMAX", "xw")(lambda x, n: call("shape", x, params=("argmax", n)))
 operator("TS_ARGMIN", "xw")(lambda x, n: call("shape", x, params=("argmin", n)))
 operator("HHVBARS", "xw")(lambda x, n: float(n - 1) - call("shape", x, params=("argmax", n)))
 operator("LLVBARS", "xw")(lambda x, n: float(n - 1) - call("shape", x, params=("argmin", n)))
-operator("COUNT", "xw")(lambda c, n: roll("sum", condition(c), n))
-operator("EVERY", "xw")(lambda c, n: roll("min", c, n) > 0.0)
-operator("EXIST", "xw")(lambda c, n: roll("max", c, n) > 0.0)
+operator("COUNT", "cw")(lambda c, n: roll("sum", condition(c), n))
+operator("EVERY", "cw")(lambda c, n: roll("min", c, n) > 0.0)
+operator("EXIST", "cw")(lambda c, n: roll("max", c, n) > 0.0)
 
 
-@operator("BARSSINCEN", "xw")
+@operator("BARSSINCEN", "cw")
 def bars_since_first(c: Term, n: int) -> Term:
     first = call("shape", choose(c, 1.0, 0.0), params=("argmax", n))
     return choose(roll("max", choose(c, 1.0, 0.0), n) > 0.0, float(n - 1) - first)
 
 
-operator("BARSLAST", "x")(lambda c: Term("session") - call("last_true", choose(c, 1.0, 0.0)))
+operator("BARSLAST", "c")(lambda c: Term("session") - call("last_true", choose(c, 1.0, 0.0)))
 
 
-@operator("BARSLASTCOUNT", "x")
+@operator("BARSLASTCOUNT", "c")
 def run_length(c: Term) -> Term:
     broken = call("last_true", choose(c, 0.0, 1.0))
     return Term("session") - choose(present(broken), broken, -1.0)
@@ -162,25 +166,25 @@ def sharpe(x: Term, n: int) -> Term:
 
 operator("SUM_ABS_PRICE_CHANGE", "xw")(lambda x, n: roll("sum", call("abs", diff(x)), n))
 operator("MEAN_ABS_PRICE_CHANGE ATR", "xw")(lambda x, n: roll("mean", call("abs", diff(x)), n))
-operator("CROSS", "xx")(lambda x, y: (number(x) > y) & (shift(x, 1) <= shift(y, 1)))
+operator("CROSS", "xy")(lambda x, y: (number(x) > y) & (shift(x, 1) <= shift(y, 1)))
 
 
-@operator("LONGCROSS", "xxw")
+@operator("LONGCROSS", "xyw")
 def long_cross(x: Term, y: Term, n: int) -> Term:
     held = roll("min", shift(x, 1) < shift(y, 1), n)
     return (number(x) > y) & (shift(x, 1) <= shift(y, 1)) & (~present(held) | (held > 0.0))
 
 
-@operator("LAST", "xzz")
+@operator("LAST", "czz")
 def held_between(c: Term, n: int, m: int) -> Term:
     near, far = min(n, m), max(n, m)
     return roll("min", c, far - near + 1, near) > 0.0
 
 
-operator("CORR CORRELATION", "xxw")(lambda x, y, n: call("roll2", x, y, params=("corr", n)))
-operator("COV COVARIANCE", "xxw")(lambda x, y, n: call("roll2", x, y, params=("cov", n)))
-operator("TS_REGRESSION", "xxw")(lambda x, y, n: call("roll2", x, y, params=("cov", n)) / roll("var", y, n))
-operator("SUMIF", "xxw")(lambda c, y, n: roll("sum", choose(c, y, 0.0), n))
+operator("CORR CORRELATION", "xvw")(lambda x, y, n: call("roll2", x, y, params=("corr", n)))
+operator("COV COVARIANCE", "xyw")(lambda x, y, n: call("roll2", x, y, params=("cov", n)))
+operator("TS_REGRESSION", "xyw")(lambda x, y, n: call("roll2", x, y, params=("cov", n)) / roll("var", y, n))
+operator("SUMIF", "cvw")(lambda c, y, n: roll("sum", choose(c, y, 0.0), n))
 
 
 # --- averages with memory -----------------------------------------------------------------------------------------------
@@ -196,7 +200,7 @@ def weighted_average(x: Term, n: int, m: float) -> Term:
     return ewm(x, m / n, n)
 
 
-@operator("DMA", "xx")
+@operator("DMA", "xu")
 def dynamic_average(x: Term, a: Term) -> Term:
     if a.op == "lit":
         if not 0 < a.params[0] < 1:
@@ -220,10 +224,9 @@ def six_fold_average(x: Term, n: int) -> Term:
     v, chain = 0.7, [number(x)]
     for _ in range(6):
         chain.append(ema(chain[-1], n))
-    return (
-        lit(-(v**3)) * chain[6] + lit(3 * v**2 + 3 * v**3) * chain[5]
-        + lit(-6 * v**2 - 3 * v - 3 * v**3) * chain[4] + lit(1 + 3 * v + v**3 + 3 * v**2) * chain[3]
-    )
+    # (1 + v) times an average less v times the average of it, three times over: binomial weights
+    weights = {3 + k: comb(3, k) * (-v) ** k * (1 + v) ** (3 - k) for k in range(4)}
+    return sum((weights[k] * chain[k] for k in (4, 5, 6)), weights[3] * chain[3])
 
 
 @operator("KAMA", "xw")
@@ -251,9 +254,9 @@ def stochastic_lines(c: Term, h: Term, l: Term, n: int, m1: int, m2: int) -> tup
     return k, ewm(k, 1 / m2, m2)
 
 
-operator("KDJ_K", "xxxwww")(lambda *a: stochastic_lines(*a)[0])
-operator("KDJ_D", "xxxwww")(lambda *a: stochastic_lines(*a)[1])
-operator("KDJ_J", "xxxwww")(lambda *a: 3.0 * stochastic_lines(*a)[0] - 2.0 * stochastic_lines(*a)[1])
+operator("KDJ_K", "khlwww")(lambda *a: stochastic_lines(*a)[0])
+operator("KDJ_D", "khlwww")(lambda *a: stochastic_lines(*a)[1])
+operator("KDJ_J", "khlwww")(lambda *a: 3.0 * stochastic_lines(*a)[0] - 2.0 * stochastic_lines(*a)[1])
 
 
 def trix(x: Term, n: int) -> Term:
@@ -270,8 +273,8 @@ def mass(h: Term, l: Term, n1: int, n2: int) -> Term:  # noqa: E741
     return roll("sum", first / ema(first, n1), n2)
 
 
-operator("MASS", "xxwww")(lambda h, l, n1, n2, m: mass(h, l, n1, n2))
-operator("MASSMA", "xxwww")(lambda h, l, n1, n2, m: roll("mean", mass(h, l, n1, n2), m))
+operator("MASS", "hlwww")(lambda h, l, n1, n2, m: mass(h, l, n1, n2))
+operator("MASSMA", "hlwww")(lambda h, l, n1, n2, m: roll("mean", mass(h, l, n1, n2), m))
 
 
 # --- indicators from windows --------------------------------------------------------------------------------------------
@@ -323,28 +326,28 @@ def adx(c: Term, h: Term, l: Term, n: int, m: int) -> Term:  # noqa: E741
     return roll("mean", call("abs", plus - minus) / (plus + minus) * 100.0, m)
 
 
-operator("DMI_PDI", "xxxww")(lambda c, h, l, n, m: directional(c, h, l, n)[0])
-operator("DMI_MDI", "xxxww")(lambda c, h, l, n, m: directional(c, h, l, n)[1])
-operator("DMI_ADX", "xxxww")(adx)
-operator("DMI_ADXR", "xxxww")(lambda c, h, l, n, m: (adx(c, h, l, n, m) + shift(adx(c, h, l, n, m), m)) / 2.0)
+operator("DMI_PDI", "khlww")(lambda c, h, l, n, m: directional(c, h, l, n)[0])
+operator("DMI_MDI", "khlww")(lambda c, h, l, n, m: directional(c, h, l, n)[1])
+operator("DMI_ADX", "khlww")(adx)
+operator("DMI_ADXR", "khlww")(lambda c, h, l, n, m: (adx(c, h, l, n, m) + shift(adx(c, h, l, n, m), m)) / 2.0)
 operator("ADXR", "xw")(lambda x, n: (number(x) + shift(x, n)) / 2.0)
 operator("AROONOSC", "xw")(lambda x, n: (call("shape", x, params=("argmax", n)) - call("shape", x, params=("argmin", n))) / float(n) * 100.0)
 
 
-@operator("OBV", "xx")
+@operator("OBV", "xv")
 def balance_volume(x: Term, v: Term) -> Term:
     step = call("sign", diff(x))
     return call("running_sum", choose(present(step), step, 0.0) * v)
 
 
-@operator("VR", "xxw")
+@operator("VR", "xvw")
 def volume_ratio(x: Term, v: Term, n: int) -> Term:
     step = diff(x)
     up, down, flat = (roll("sum", choose(c, v, 0.0), n) for c in (step > 0.0, step < 0.0, equal(step, 0.0)))
     return (up + flat / 2.0) / (down + flat / 2.0) * 100.0
 
 
-@operator("MFI", "xxxxw")
+@operator("MFI", "khlvw")
 def money_flow(c: Term, h: Term, l: Term, v: Term, n: int) -> Term:  # noqa: E741
     typical = (number(c) + h + l) / 3.0
     gained = roll("sum", choose(diff(typical) > 0.0, typical * v, 0.0), n)
@@ -357,8 +360,8 @@ def ease(h: Term, l: Term, v: Term, n: int) -> Term:  # noqa: E741
     return roll("mean", diff(middle) / (number(v) / (number(h) - l)), n)
 
 
-operator("EMV", "xxxww")(lambda h, l, v, n, m: ease(h, l, v, n))
-operator("EMVMA", "xxxww")(lambda h, l, v, n, m: roll("mean", ease(h, l, v, n), m))
+operator("EMV", "hlvww")(lambda h, l, v, n, m: ease(h, l, v, n))
+operator("EMVMA", "hlvww")(lambda h, l, v, n, m: roll("mean", ease(h, l, v, n), m))
 
 
 def detrended(x: Term, n: int, k: int) -> Term:
@@ -367,8 +370,8 @@ def detrended(x: Term, n: int, k: int) -> Term:
 
 operator("DPO", "xwww")(lambda x, n, k, m: detrended(x, n, k))
 operator("DPOMA", "xwww")(lambda x, n, k, m: roll("mean", detrended(x, n, k), m))
-operator("BRAR", "xxxxw")(lambda o, c, h, l, n: roll("sum", above(number(h) - shift(c, 1)), n) / roll("sum", above(shift(c, 1) - l), n) * 100.0)
-operator("ARBR", "xxxxw")(lambda o, c, h, l, n: roll("sum", number(h) - o, n) / roll("sum", number(o) - l, n) * 100.0)
+operator("BRAR", "okhlw")(lambda o, c, h, l, n: roll("sum", above(number(h) - shift(c, 1)), n) / roll("sum", above(shift(c, 1) - l), n) * 100.0)
+operator("ARBR", "okhlw")(lambda o, c, h, l, n: roll("sum", number(h) - o, n) / roll("sum", number(o) - l, n) * 100.0)
 operator("MTM", "xww")(lambda x, n, m: diff(x, n))
 operator("MTMMA", "xww")(lambda x, n, m: roll("mean", diff(x, n), m))
 operator("ROCMA", "xww")(lambda x, n, m: roll("mean", number(x) / shift(x, n) - 1.0, m))
@@ -382,8 +385,8 @@ def swing(o: Term, c: Term, h: Term, l: Term, n: int) -> Term:  # noqa: E741
     return roll("sum", moved / choose(complete, call("greatest", *reaches)), n)
 
 
-operator("ASI", "xxxxww")(lambda o, c, h, l, n, m: swing(o, c, h, l, n))
-operator("ASIT", "xxxxww")(lambda o, c, h, l, n, m: roll("mean", swing(o, c, h, l, n), m))
+operator("ASI", "okhlww")(lambda o, c, h, l, n, m: swing(o, c, h, l, n))
+operator("ASIT", "okhlww")(lambda o, c, h, l, n, m: roll("mean", swing(o, c, h, l, n), m))
 
 
 def spread_of_means(x: Term, n1: int, n2: int) -> Term:
