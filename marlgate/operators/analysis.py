@@ -125,22 +125,73 @@ def dailyized(r: Column, period: int) -> Column:
     return F.when(r > -1, F.expm1(F.log1p(F.when(r > -1, r)) / period))
 
 
-def summary(info: DataFrame, sessions_a_year: int = 252) -> dict[str, float | None]:
-    """Moments of the information coefficients, from one aggregate row."""
-    row = info.agg(
-        F.count("ic").alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), F.avg((F.col("ic") > 0).cast("double")).alias("positive"),
-        F.avg("rank_ic").alias("rank_mean"), F.stddev_samp("rank_ic").alias("rank_std"), F.skewness("ic").alias("skew"), F.kurtosis("ic").alias("kurt"),
-    ).first().asDict()
-    n, std = row["n"], row["std"]
-    ratio = row["mean"] / std if std else None
-    t = ratio * math.sqrt(n) if ratio is not None else None
-    return {
-        "sessions": n, "ic_mean": row["mean"], "ic_std": std, "icir": ratio, "icir_annual": ratio * math.sqrt(sessions_a_year) if ratio is not None else None,
-        "ic_positive": row["positive"], "ic_t": t, "ic_p": math.erfc(abs(t) / math.sqrt(2)) if t is not None else None,
-        "ic_skew": row["skew"] * math.sqrt(n * (n - 1)) / (n - 2) if row["skew"] is not None and n > 2 else None,
-        "ic_kurt": (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * row["kurt"] + 6) if row["kurt"] is not None and n > 3 else None,
-        "rank_ic_mean": row["rank_mean"], "rank_ic_std": row["rank_std"],
-    }
+def summary_table(info: DataFrame, turnover: DataFrame | None = None, autocorrelation: DataFrame | None = None, sessions_a_year: int = 252) -> DataFrame:
+    """One row: moments of the information coefficients and of the rank coefficients, mean turnover and rank autocorrelation."""
+    sums = info.agg(
+        F.count("ic").alias("sessions"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.col("ic") > 0).cast("double")).alias("ic_positive"),
+        F.skewness("ic").alias("_skew"), F.kurtosis("ic").alias("_kurt"), F.avg("rank_ic").alias("rank_ic_mean"), F.stddev_samp("rank_ic").alias("rank_ic_std"),
+        F.avg((F.col("rank_ic") > 0).cast("double")).alias("rank_ic_positive"), F.count("rank_ic").alias("_ranked"),
+    )
+    n, ratio, rank_ratio = F.col("sessions"), F.try_divide("ic_mean", "ic_std"), F.try_divide("rank_ic_mean", "rank_ic_std")
+    out = sums.select(
+        "sessions", "ic_mean", "ic_std", ratio.alias("icir"), (ratio * math.sqrt(sessions_a_year)).alias("icir_annual"), "ic_positive", (ratio * F.sqrt(n)).alias("ic_t"),
+        F.when(n > 2, F.col("_skew") * F.sqrt(n * (n - 1)) / (n - 2)).alias("ic_skew"), F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("_kurt") + 6)).alias("ic_kurt"),
+        "rank_ic_mean", "rank_ic_std", rank_ratio.alias("rank_icir"), (rank_ratio * math.sqrt(sessions_a_year)).alias("rank_icir_annual"), "rank_ic_positive", (rank_ratio * F.sqrt("_ranked")).alias("rank_ic_t"),
+    ).withColumn("one", F.lit(1))
+    more = []
+    if turnover is not None:
+        more.append(turnover.agg(F.avg("turnover").alias("mean_turnover")))
+    if autocorrelation is not None:
+        more.append(autocorrelation.agg(F.avg("rank_autocorrelation").alias("mean_autocorrelation")))
+    for frame in more:  # one row each
+        out = out.join(frame.withColumn("one", F.lit(1)), "one")
+    return out.drop("one")
+
+
+def summary(info: DataFrame, turnover: DataFrame | None = None, autocorrelation: DataFrame | None = None, sessions_a_year: int = 252) -> dict[str, float | None]:
+    """The summary's row, with the two-sided normal probability of the t statistics."""
+    row = summary_table(info, turnover, autocorrelation, sessions_a_year).first().asDict()
+    for name in ("ic", "rank_ic"):
+        t = row[f"{name}_t"]
+        row[f"{name}_p"] = math.erfc(abs(t) / math.sqrt(2)) if t is not None else None
+    return row
+
+
+def return_analysis(df: DataFrame, quantiles: int = 5, period: int = 1) -> DataFrame:
+    """One row: alpha, beta and t of the factor's returns on the universe's; mean one-session return of the top and bottom
+    quantile and of their spread, in hundredths of a percent."""
+    daily = quantile_returns(df, quantiles).withColumn("_d", dailyized(F.col("mean_return"), period))
+    ends = daily.groupBy("session").agg(F.max(F.when(F.col("q") == quantiles, F.col("_d"))).alias("t"), F.max(F.when(F.col("q") == 1, F.col("_d"))).alias("b"))
+    bps = ends.agg(*[(F.avg(x) * 10_000).alias(f"{name}_bps") for name, x in (("top", F.col("t")), ("bottom", F.col("b")), ("spread", F.col("t") - F.col("b")))])
+    returns = factor_returns(df.withColumn("r", dailyized(F.col("r"), period)))
+    return alpha_beta(returns).withColumn("one", F.lit(1)).join(bps.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def cumulative_information(info: DataFrame) -> DataFrame:
+    """session, cumulative_ic, cumulative_rank_ic: running sums, a missing coefficient as zero."""
+    upto = Window.partitionBy(F.lit(1)).orderBy("session").rowsBetween(Window.unboundedPreceding, 0)  # one series
+    return info.select("session", *[F.sum(F.coalesce(c, F.lit(0.0))).over(upto).alias(f"cumulative_{c}") for c in ("ic", "rank_ic")])
+
+
+def monthly_information(info: DataFrame) -> DataFrame:
+    """year, month, ic, rank_ic: means over the sessions that have one."""
+    return info.groupBy(F.year("session").alias("year"), F.month("session").alias("month")).agg(F.avg("ic").alias("ic"), F.avg("rank_ic").alias("rank_ic"))
+
+
+def quantile_distribution(df: DataFrame, quantiles: int = 5) -> DataFrame:
+    """q, sessions, and of its mean returns by session: mean, std, lowest, quartiles, highest. Exact: a value a session."""
+    x = F.col("mean_return")
+    return quantile_returns(df, quantiles).groupBy("q").agg(
+        F.count(x).alias("sessions"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("lowest"),
+        *[F.percentile(x, F.lit(p)).alias(name) for name, p in (("lower", 0.25), ("median", 0.5), ("upper", 0.75))], F.max(x).alias("highest"),
+    )
+
+
+def quantile_cumulative(df: DataFrame, quantiles: int = 5, period: int = 1) -> DataFrame:
+    """session, q, cumulative: running compounded one-session return of each quantile, missing days as zero."""
+    upto = Window.partitionBy("q").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    daily = quantile_returns(df, quantiles).withColumn("_d", F.coalesce(dailyized(F.col("mean_return"), period), F.lit(0.0)))
+    return daily.select("session", "q", F.expm1(F.sum(F.log1p("_d")).over(upto)).alias("cumulative"))
 
 
 def alpha_beta(returns: DataFrame, sessions_a_year: int = 252) -> DataFrame:

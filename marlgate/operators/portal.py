@@ -19,19 +19,24 @@ PRICES = ("open", "high", "low", "close", "price")
 def last_known(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, known: str, values: Sequence[str], strict: bool = True) -> DataFrame:
     """For every left row the values of the right side's last row known before ``at`` (or at it, unless ``strict``).
 
-    Both sides are ordered together by (entity, time), once; of right rows known together the greatest values win.
+    Facts and the distinct times asked about are ordered together by (entity, time), once, and joined back to the events; of
+    right rows known together the greatest values win.
     """
     require(left, *by, at)
     require(right, *by, known, *values)
     one = right.where(F.col(known).isNotNull()).groupBy(*by, known).agg(F.max(F.struct(*values)).alias("_v"))
-    facts = one.select(*by, F.col(known).alias("_at"), F.lit(1 if strict else 0).alias("_side"), F.col(known).alias("_known"), "_v", F.lit(None).cast(left.schema.simpleString()).alias("_row"))
-    events = left.select(*by, F.col(at).alias("_at"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast(right.schema[known].dataType).alias("_known"), F.lit(None).cast(one.schema["_v"].dataType).alias("_v"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"))
+    side = {"facts": 1 if strict else 0, "events": 0 if strict else 1}
+    facts = one.select(*by, F.col(known).alias("_at"), F.lit(side["facts"]).alias("_side"), F.col(known).alias("_known"), "_v")
+    # an entity's events shrink to the times they ask about before they are sorted with its facts
+    asked = left.select(*by, F.col(at).alias("_at")).distinct().select(
+        *by, "_at", F.lit(side["events"]).alias("_side"), F.lit(None).cast(right.schema[known].dataType).alias("_known"), F.lit(None).cast(one.schema["_v"].dataType).alias("_v")
+    )
     order = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    # the facts' structs are never null, so the last one that isn't is the last fact
-    both = facts.unionByName(events).withColumn("_last", F.last("_v", ignorenulls=True).over(order)).withColumn("_known", F.last("_known", ignorenulls=True).over(order))
-    found = both.where(F.col("_row").isNotNull())
-    taken = {f"{v}": F.col(f"_last.{v}") for v in values}
-    return found.select("_row.*", F.col("_known").alias(f"{known}_used"), *[c.alias(v if v not in left.columns else f"{v}_known") for v, c in taken.items()])
+    both = facts.unionByName(asked).withColumn("_last", F.last("_v", ignorenulls=True).over(order)).withColumn("_used", F.last("_known", ignorenulls=True).over(order))
+    found = both.where(F.col("_side") == side["events"]).select(*[F.col(k).alias(f"_by{i}") for i, k in enumerate(by)], "_at", "_used", "_last")
+    on = [left[k] == found[f"_by{i}"] for i, k in enumerate(by)] + [left[at] == found["_at"]]
+    taken = [F.col(f"_last.{v}").alias(v if v not in left.columns else f"{v}_known") for v in values]
+    return left.join(found, on, "left").select(*[left[c] for c in left.columns], F.col("_used").alias(f"{known}_used"), *taken)
 
 
 def adjusted(bars: DataFrame, mode: str = "raw", factor: str = "adj_factor", reference: object = None) -> DataFrame:
@@ -130,3 +135,76 @@ def calendar_problems(trade_cal: DataFrame) -> DataFrame:
 def tradable(bars: DataFrame, suspended: Column) -> Column:
     """A bar exists, the asset isn't suspended and something was traded."""
     return F.coalesce((F.col("close") > 0) & (F.col("volume") > 0) & ~suspended, F.lit(False))
+
+
+def valid_at(events: DataFrame, intervals: DataFrame, by: Sequence[str], at: str, start: str, until: str, values: Sequence[str]) -> DataFrame:
+    """Every event with the values of the interval it lies in (``start <= at < until``, an open end is null); of several the one that began last.
+
+    ``intervals`` with a null or unreadable start count from the beginning.
+    """
+    spans = intervals.select(*[F.col(k).alias(f"_by{i}") for i, k in enumerate(by)], F.struct(F.col(start).alias("s"), F.col(until).alias("u"), *values).alias("_x"))
+    listed = spans.groupBy(*[f"_by{i}" for i in range(len(by))]).agg(F.sort_array(F.collect_list("_x"), asc=False).alias("_spans"))  # an entity's memberships, not rows
+    inside = F.filter("_spans", lambda x: (x["s"].isNull() | (x["s"] <= F.col(at))) & (x["u"].isNull() | (F.col(at) < x["u"])))
+    found = events.join(listed, [events[k] == listed[f"_by{i}"] for i, k in enumerate(by)], "left").withColumn("_x", F.get(inside, 0))
+    return found.select(*[events[c] for c in events.columns], *[F.col(f"_x.{v}").alias(v) for v in values])
+
+
+def statements_joined(frames: Sequence[DataFrame], key: Sequence[str] = ("ts_code", "end_date")) -> DataFrame:
+    """Statements of one company and period side by side; a period that one of them lacks keeps its row."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.join(frame, list(key), "full_outer")
+    return out
+
+
+def history(panel: DataFrame, fields: Sequence[str], end: object, bars: int, assets: Sequence[object] | None = None, mode: str = "raw", reference: object = None) -> DataFrame:
+    """asset, session and fields of the last ``bars`` sessions up to ``end``; ``qfq`` is anchored at ``reference``, by default ``end``."""
+    chosen = panel if assets is None else panel.where(F.col("asset").isin(list(assets)))
+    upto = chosen.where(F.col("session") <= F.lit(end))
+    last = panel.where(F.col("session") <= F.lit(end)).agg(F.max("session_idx")).first()[0]
+    out = adjusted(upto, mode, reference=reference or end)
+    return out.where(F.col("session_idx") > F.lit((-1 if last is None else last) - bars)).select("asset", "session", *fields)
+
+
+def values_at(panel: DataFrame, fields: Sequence[str], session: object, assets: Sequence[object] | None = None, mode: str = "raw", reference: object = None) -> DataFrame:
+    """asset and fields at one session."""
+    return history(panel, fields, session, 1, assets, mode, reference).where(F.col("session") == F.lit(session)).drop("session")
+
+
+def asset_life(basic: DataFrame, bars: DataFrame, start: object, end: object) -> DataFrame:
+    """ts_code, first_seen, last_seen, life_start, life_end: from the latest of start, listing and first bar to the earlier of end and delisting.
+
+    An asset without bars has no life; one without a listing day lives from its first bar.
+    """
+    seen = bars.groupBy("ts_code").agg(F.min("session").alias("first_seen"), F.max("session").alias("last_seen"))
+    found = basic.select("ts_code", "list_date", "delist_date").join(seen, "ts_code", "left")
+    begin = F.when(F.col("first_seen").isNotNull(), F.greatest(F.lit(start), "list_date", "first_seen"))
+    return found.select("ts_code", "first_seen", "last_seen", begin.alias("life_start"), F.when(begin.isNotNull(), F.least(F.lit(end), "delist_date")).alias("life_end"))
+
+
+def day_offsets(trade_cal: DataFrame, exchange: str, by: int) -> DataFrame:
+    """cal_date, is_session, shifted: for every natural day whether it is a session, and the session ``by`` sessions on from it (back if negative).
+
+    From a day without trading the count starts at the session before it (forwards) or after it (backwards).
+    """
+    days = trade_cal.where(F.col("exchange") == exchange).groupBy("cal_date").agg((F.max("is_open") == 1).alias("is_session"))
+    order = Window.partitionBy(F.lit(1)).orderBy("cal_date")  # a calendar
+    counted = days.withColumn("_n", F.sum(F.col("is_session").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = F.col("_n") + by + (0 if by >= 0 else F.when(F.col("is_session"), 0).otherwise(1))
+    held = counted.where("is_session").select(F.col("_n").alias("_w"), F.col("cal_date").alias("shifted"))
+    return counted.withColumn("_w", wanted).join(held, "_w", "left").select("cal_date", "is_session", "shifted")
+
+
+def sessions_between(trade_cal: DataFrame, exchange: str, first: str, last: str) -> list[str]:
+    """Open days from one to the other; both must be sessions."""
+    open_days = [r[0] for r in sessions(trade_cal, exchange).where(F.col("session").between(first, last)).select("session").orderBy("session").collect()]  # a calendar
+    if not open_days or open_days[0] != first or open_days[-1] != last:
+        raise ValueError(f"{first} and {last} must both be sessions of {exchange}")
+    return open_days
+
+
+def safe_end(trade_cal: DataFrame, exchange: str, now: str, cutoff: str = "17:00") -> str | None:
+    """The last session whose data is complete at ``now`` (``YYYYMMDD HH:MM``): today's only after the cutoff."""
+    day, _, clock = now.partition(" ")
+    upto = F.col("session") <= day if clock >= cutoff else F.col("session") < day
+    return sessions(trade_cal, exchange).where(upto).agg(F.max("session")).first()[0]

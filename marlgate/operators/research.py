@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlgate.operators import analysis
+from marlgate.operators import analysis, portal
 from marlgate.plans.compiler import evaluate
 
 
@@ -42,6 +44,53 @@ def analyze(panel: DataFrame, expression: str, periods: Sequence[int] = (1, 5, 1
     return out
 
 
+def run_analysis(panel: DataFrame, expression: str, periods: Sequence[int] = (1, 5, 10), quantiles: int = 5) -> DataFrame:
+    """A whole analysis as one frame: a row for each holding period with its summary and return analysis."""
+    rows = evaluate(panel, {"f": expression, **{f"r{p}": f"FUTURE_RETURNS($close, {p})" for p in periods}})
+    out = []
+    for p in periods:
+        one = rows.withColumn("r", F.col(f"r{p}"))
+        table = analysis.summary_table(analysis.information(one), analysis.quantile_turnover(one, quantiles), analysis.rank_autocorrelation(one))
+        made = table.withColumn("period", F.lit(p)).join(analysis.return_analysis(one, quantiles, p).withColumn("period", F.lit(p)), "period")
+        out.append(made)
+    return reduce(DataFrame.unionByName, out)
+
+
+def member_union(snapshots: DataFrame, end: object, indices: Sequence[str] | None = None) -> DataFrame:
+    """asset: everything that was in an index (of those named) in a snapshot before the day."""
+    rows = snapshots.where(F.col("snapshot") < F.lit(end))
+    return (rows if indices is None else rows.where(F.col("series").isin(list(indices)))).select(F.col("item").alias("asset")).distinct()
+
+
+@dataclass(frozen=True)
+class FactorData:
+    """Expressions over a universe and a span of sessions.
+
+    ``panel``: asset, session, session_idx, fields, and as needed ``adj_factor``, list_date, delist_date and flags. Prices are
+    adjusted as of the last session asked for; earlier sessions are read to warm up, later ones never. Outside the universe
+    (not alive, listed too shortly, flagged) results are null, while expressions still see the asset's past.
+    """
+
+    panel: DataFrame
+    start: object
+    end: object
+    assets: DataFrame | None = None
+    adjustment: str = "qfq"
+    min_listed_days: int = 0
+    exclude_flags: tuple[str, ...] = ()
+
+    def source(self) -> DataFrame:
+        rows = self.panel.where(F.col("session") <= F.lit(self.end))
+        if self.assets is not None:
+            rows = rows.join(self.assets, "asset", "left_semi")
+        rows = portal.adjusted(rows, self.adjustment, reference=self.end)
+        return portal.universe(rows, self.min_listed_days, self.exclude_flags) if "list_date" in rows.columns else rows.withColumn("in_universe", F.lit(True))
+
+    def history(self, expressions: dict[str, str]) -> DataFrame:
+        """asset, session, in_universe and the expressions from start to end."""
+        return masked(self.source(), expressions, "in_universe").where(F.col("session") >= F.lit(self.start)).drop("session_idx")
+
+
 def missing_sessions(calendar: DataFrame, rows: DataFrame, date: str, start: object, end: object) -> DataFrame:
     """Sessions of the calendar from start to end for which a table has no row."""
     wanted = calendar.where(F.col("session").between(F.lit(start), F.lit(end))).select("session")

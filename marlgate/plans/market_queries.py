@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlgate.functions.normalize import as_number, day_text, digits_of_number, effective_day, market_code, real_day, trimmed
@@ -16,11 +17,11 @@ from marlgate.plans.compiler import evaluate
 from marlgate.plans.data_queries import _LATEST, _SNAPSHOTS, code_sql, day_sql, index_sql, reports_sql
 from marlgate.plans.factor_queries import PANEL_SQL, monthly_panel
 from marlgate.plans.sqltext import steps_of
-from marlgate.session import shared_dir
+from marlgate.session import passing, shared_dir
 from marlgate.sources.query import LocalData, check_read_only, select_rows
 from marlgate.sources.registry import TABLES, normalized
 from marlgate.sources.testbed import table
-from marlgate.sources.writer import replace_groups, replace_ranges, upsert, write_table
+from marlgate.sources.writer import keep_last, merge_calendar, pruned, replace_groups, replace_ranges, upsert, write_table
 from marlgate.streaming.pipelines import event_windows, sessions_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +33,8 @@ def lake_daily(spark: SparkSession, folder: str) -> DataFrame:
     """Write a table through the registry into a fresh lake, then read it back by a structured query."""
     lake = f"{shared_dir(spark).rstrip('/')}/lake-{uuid.uuid4().hex}"
     write_table(table(spark, folder, "stock_daily"), TABLES["stock_daily"], lake)
-    return LocalData(spark, lake).query("stock_daily", start="20220601", end="20221231")
+    passing(spark, lake)
+    return LocalData(spark, lake).query("stock_daily")
 
 
 def read_only_sql(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,8 +57,8 @@ _LOG = f"log AS (SELECT * FROM (SELECT {code_sql('ts_code')} AS ts_code, {day_sq
 
 
 # --- point in time ------------------------------------------------------------------------------------------------------
-def reports(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "income").select(
+def reports(spark: SparkSession, folder: str, condition: str = "true") -> DataFrame:
+    return table(spark, folder, "income").where(condition).select(
         market_code("ts_code").alias("ts_code"), day_text(real_day("end_date")).alias("end_date"), digits_of_number("report_type").alias("report_type"),
         day_text(real_day(effective_day("f_ann_date", "ann_date"))).alias("effective_ann_date"), trimmed("update_flag").alias("update_flag"), "source_order", as_number("revenue").alias("revenue"), as_number("n_income").alias("n_income"),
     ).where("ts_code is not null and end_date is not null")
@@ -100,6 +102,28 @@ def benchmark(spark: SparkSession, folder: str) -> DataFrame:
     return portal.benchmark_returns(closes, panel).select("session", F.round("benchmark_return", 6).alias("benchmark_return"))
 
 
+def asset_lives(spark: SparkSession, folder: str) -> DataFrame:
+    basic = table(spark, folder, "stock_basic").select("ts_code", *[real_day(c).alias(c) for c in ("list_date", "delist_date")])
+    bars = latest_bars(table(spark, folder, "stock_daily")).withColumnRenamed("day", "session")
+    lives = portal.asset_life(basic, bars, dt.date(2022, 2, 1), dt.date(2022, 12, 31))
+    return lives.select("ts_code", *[day_text(F.col(c)).alias(c) for c in ("first_seen", "last_seen", "life_start", "life_end")])
+
+
+def stated_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Each figure of ``daily`` with the unit text its feed states for the day."""
+    stated = table(spark, folder, "feed_units").where("field_name = 'vol'").select("feed", "asset_type", "unit_text", real_day("valid_from").alias("s"), real_day("valid_until").alias("u"))
+    rows = table(spark, folder, "daily").select("row_id", "feed", "asset_type", real_day("trade_date").alias("day"))
+    return portal.valid_at(rows, stated, ["feed", "asset_type"], "day", "s", "u", ["unit_text"]).select("row_id", "unit_text")
+
+
+def best_statement(spark: SparkSession, folder: str, kind: str, figure: str) -> DataFrame:
+    """The last version of a kind of statement: ts_code, end_date, figure."""
+    rows = table(spark, folder, "income").select(
+        market_code("ts_code").alias("ts_code"), day_text(real_day("end_date")).alias("end_date"), digits_of_number("report_type").alias("kind"), "source_order", "row_id", as_number(figure).alias(figure),
+    ).where((F.col("kind") == kind) & F.col("ts_code").isNotNull() & F.col("end_date").isNotNull())
+    return keep_last(rows, ["ts_code", "end_date"], ["source_order", "row_id", figure]).select("ts_code", "end_date", figure)
+
+
 # --- factor analysis ----------------------------------------------------------------------------------------------------
 FACTOR = {"f": "0 - RETURNS($close, 2)", "r": "FUTURE_RETURNS($close, 1)"}
 
@@ -135,23 +159,27 @@ def _rounded(make: Callable[[DataFrame], DataFrame], *columns: str, digits: int
 # --- performance --------------------------------------------------------------------------------------------------------
 def asset_days(spark: SparkSession, folder: str) -> DataFrame:
     """Each asset as a portfolio: day, returns, portfolio_value, benchmark_return (the mean of all)."""
-    rows = evaluate(monthly_panel(spark, folder), {"returns": "IF(ABS(RETURNS($close, 1)) < 0.9, RETURNS($close, 1) / 10, 0)", "portfolio_value": "$close"}).withColumnRenamed("session", "day")
+    rows = evaluate(monthly_panel(spark, folder), {"returns": "RETURNS($close, 1)", "portfolio_value": "$close"}).withColumnRenamed("session", "day")
     return rows.where("returns is not null").withColumn("benchmark_return", F.avg("returns").over(Window.partitionBy("day"))).select("asset", "day", "returns", "portfolio_value", "benchmark_return")
 
 
-_DAYS = f"""WITH {PANEL_SQL}, rr AS (SELECT asset, session AS day, close AS portfolio_value, close / nullif(lag(close) OVER (PARTITION BY asset ORDER BY session), 0) - 1 AS r0 FROM panel),
-rs AS (SELECT asset, day, CASE WHEN coalesce(abs(r0) < 0.9, false) THEN r0 / 10 ELSE 0 END AS returns, portfolio_value FROM rr),
+_DAYS = f"""WITH {PANEL_SQL}, rs AS (SELECT asset, session AS day, close AS portfolio_value, close / nullif(lag(close) OVER (PARTITION BY asset ORDER BY session), 0) - 1 AS returns FROM panel),
 d AS (SELECT *, avg(returns) OVER (PARTITION BY day) AS benchmark_return FROM rs WHERE returns IS NOT NULL),
 dd AS (SELECT *, portfolio_value / nullif(max(portfolio_value) OVER (PARTITION BY asset ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) - 1 AS drawdown FROM d)"""
 
 
 def _metrics(spark: SparkSession, folder: str) -> DataFrame:
     out = performance.metrics(asset_days(spark, folder), "asset")
-    return out.select("asset", "n", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("asset", "n")])
+    return out.select("asset", "n", *[shown(c) for c in out.columns if c not in ("asset", "n")])
+
+
+def shown(c: str) -> Column:
+    """Seven significant digits as text: raw returns compound to any size."""
+    return F.when(F.col(c).isNotNull(), F.format_string("%.6e", c)).alias(c)
 
 
 def _performance(make: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
-    return lambda spark, folder: make(asset_days(spark, folder)).withColumns({c: F.round(c, 6) for c in columns})
+    return lambda spark, folder: make(asset_days(spark, folder)).withColumns({c: shown(c) for c in columns})
 
 
 # --- quality ------------------------------------------------------------------------------------------------------------
@@ -192,14 +220,16 @@ def _quality_sql() -> str:
 
 # --- streams ------------------------------------------------------------------------------------------------------------
 def streamed_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """The events table read as a stream; the complete windows are published batch by batch."""
+    """The events table read as a stream. Each batch gives the windows it changed, so state ends with the watermark; a batch
+    that is repeated writes the same place, and of a window's versions the last batch's counts."""
     base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    passing(spark, base)
     path = f"{folder.rstrip('/')}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = event_windows(spark.readStream.schema(schema).parquet(path + "*"), "1 day")
-    writer = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out")).start().awaitTermination()
-    return _shown(spark.read.parquet(f"{base}/out"))
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")).start().awaitTermination()
+    return _shown(keep_last(spark.read.parquet(f"{base}/out"), ["window_start", "event_type"], ["batch"]))
 
 
 def _shown(windows: DataFrame) -> DataFrame:
@@ -234,6 +264,14 @@ def queries() -> dict[str, Query]:
         "merge_upsert": lambda s, d: upsert(*log_parts(s, d), ["ts_code", "trade_date"], ["load_id", "row_id"]),
         "merge_dates": lambda s, d: replace_groups(*log_parts(s, d), ["trade_date"]),
         "merge_ranges": lambda s, d: replace_ranges(*log_parts(s, d), "ts_code", "trade_date"),
+        "merge_reports": lambda s, d: upsert(*(reports(s, d, f"load_id {x} {SPLIT}") for x in ("<=", ">")), ["ts_code", "end_date", "report_type"], ["effective_ann_date", "update_flag", "source_order", "revenue", "n_income"]).select("ts_code", "end_date", "report_type", "effective_ann_date", "source_order"),
+        "merge_snapshots": lambda s, d: replace_groups(*(t(s, d, "index_weight").where(f"delivery {x} 1") for x in ("<=", ">")), ["index_code", "snapshot_date"]).select("index_code", "snapshot_date", "con_code", "weight", "delivery"),
+        "merge_calendar": lambda s, d: merge_calendar(t(s, d, "trade_cal").where("cal_date <= '20230601'"), t(s, d, "trade_cal").where("cal_date > '20230301'").withColumn("is_open", F.lit(1)), "20230901"),
+        "merge_pruned": lambda s, d: pruned(t(s, d, "daily"), "asset_type", ["stock", "index"]).select("row_id", "ts_code", "asset_type"),
+        "calendar_offsets": lambda s, d: portal.day_offsets(t(s, d, "trade_cal"), "SSE", 5), "calendar_backwards": lambda s, d: portal.day_offsets(t(s, d, "trade_cal"), "SZSE", -3),
+        "asset_life": lambda s, d: asset_lives(s, d),
+        "interval_units": lambda s, d: stated_texts(s, d),
+        "statements_joined": lambda s, d: portal.statements_joined([best_statement(s, d, kind, f) for kind, f in (("1", "revenue"), ("2", "n_income"), ("3", "basic_eps"))]),
         "calendar_sessions": lambda s, d: portal.sessions(t(s, d, "trade_cal"), "SSE"),
         "calendar_problems": lambda s, d: portal.calendar_problems(t(s, d, "trade_cal")),
         "calendar_window": lambda s, d: portal.session_window(portal.sessions(t(s, d, "trade_cal"), "SZSE"), "20220701", 20).select("session", "session_idx"),
@@ -288,10 +326,23 @@ def oracle_sql() -> dict[str, str]:
         "source_top": "SELECT row_id, trade_date FROM stock_daily WHERE trade_date BETWEEN '20220301' AND '20220331' ORDER BY trade_date, row_id LIMIT 50",
         "source_empty_filter": "SELECT o_orderkey FROM orders WHERE false",
         "source_sql": "SELECT n_name, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY 1",
-        "sink_lake": "SELECT nullif(trim(trade_date), '') AS trade_date, nullif(trim(ts_code), '') AS ts_code, open, high, low, close, pre_close, volume, turnover FROM stock_daily WHERE trim(trade_date) BETWEEN '20220601' AND '20221231' AND try_cast(left(trim(trade_date), 4) AS INT) = 2022",
+        "sink_lake": "SELECT nullif(trim(trade_date), '') AS trade_date, nullif(trim(ts_code), '') AS ts_code, open, high, low, close, pre_close, volume, turnover FROM stock_daily",
         "merge_upsert": f"WITH {_LOG} SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY ts_code, trade_date ORDER BY load_id > {SPLIT} DESC, load_id DESC, row_id DESC) = 1",
         "merge_dates": f"WITH {_LOG} SELECT * FROM log WHERE load_id > {SPLIT} OR trade_date NOT IN (SELECT trade_date FROM log WHERE load_id > {SPLIT})",
         "merge_ranges": f"WITH {_LOG}, span AS (SELECT ts_code, min(trade_date) AS a, max(trade_date) AS b FROM log WHERE load_id > {SPLIT} GROUP BY 1) SELECT log.* FROM log LEFT JOIN span USING (ts_code) WHERE load_id > {SPLIT} OR a IS NULL OR trade_date NOT BETWEEN a AND b",
+        "merge_reports": f"WITH {reports_sql()}, v AS (SELECT r.*, nullif(trim(update_flag), '') AS flag, i.load_id FROM reports r JOIN (SELECT row_id, update_flag, load_id FROM income) i USING (row_id) WHERE load_id IS NOT NULL) "
+        f"SELECT ts_code, end_date, report_type, known AS effective_ann_date, source_order FROM v QUALIFY row_number() OVER (PARTITION BY ts_code, end_date, report_type ORDER BY load_id > {SPLIT} DESC, known DESC NULLS LAST, flag DESC NULLS LAST, source_order DESC NULLS LAST, revenue DESC NULLS LAST, n_income DESC NULLS LAST) = 1",
+        "merge_snapshots": "SELECT index_code, snapshot_date, con_code, weight, delivery FROM index_weight i WHERE delivery > 1 OR (delivery <= 1 AND NOT EXISTS (SELECT 1 FROM index_weight n WHERE n.delivery > 1 AND n.index_code IS NOT DISTINCT FROM i.index_code AND n.snapshot_date IS NOT DISTINCT FROM i.snapshot_date))",
+        "merge_calendar": "SELECT exchange, cal_date, CASE WHEN cal_date > '20230301' THEN 1 ELSE is_open END AS is_open, pretrade_date FROM trade_cal WHERE cal_date <= '20230901'",
+        "merge_pruned": "SELECT row_id, ts_code, asset_type FROM daily WHERE asset_type IN ('stock', 'index')",
+        **{name: f"WITH d AS (SELECT cal_date, max(is_open) = 1 AS is_session FROM trade_cal WHERE exchange = '{ex}' GROUP BY 1), o AS (SELECT cal_date, row_number() OVER (ORDER BY cal_date) AS n FROM d WHERE is_session), "
+           f"a AS (SELECT d.*, (SELECT count(*) FROM o WHERE o.cal_date {'<=' if by > 0 else '<'} d.cal_date) AS n FROM d) SELECT a.cal_date, is_session, o.cal_date AS shifted FROM a LEFT JOIN o ON o.n = a.n + {by if by > 0 else by + 1}"
+           for name, ex, by in (("calendar_offsets", "SSE", 5), ("calendar_backwards", "SZSE", -3))},
+        "asset_life": f"WITH {_LATEST}, s AS (SELECT ts_code, min(d) AS a, max(d) AS b FROM bars GROUP BY 1), x AS (SELECT ts_code, a, b, CAST(try_strptime(list_date, '%Y%m%d') AS DATE) AS l, CAST(try_strptime(delist_date, '%Y%m%d') AS DATE) AS x FROM stock_basic LEFT JOIN s USING (ts_code)) "
+        "SELECT ts_code, strftime(a, '%Y%m%d') AS first_seen, strftime(b, '%Y%m%d') AS last_seen, CASE WHEN a IS NOT NULL THEN strftime(greatest(DATE '2022-02-01', l, a), '%Y%m%d') END AS life_start, CASE WHEN a IS NOT NULL THEN strftime(least(DATE '2022-12-31', x), '%Y%m%d') END AS life_end FROM x",
+        "interval_units": f"SELECT row_id, (SELECT unit_text FROM feed_units f WHERE f.field_name = 'vol' AND f.feed = d.feed AND f.asset_type = d.asset_type AND coalesce(({day_sql('d.trade_date')}) >= coalesce(f.valid_from, ''), f.valid_from IS NULL) AND coalesce(({day_sql('d.trade_date')}) < f.valid_until, f.valid_until IS NULL) ORDER BY f.valid_from DESC NULLS LAST LIMIT 1) AS unit_text FROM daily d",
+        "statements_joined": f"WITH {reports_sql()}, " + ", ".join(f"s{k} AS (SELECT ts_code, end_date, {f} FROM reports WHERE report_type = '{k}' QUALIFY row_number() OVER (PARTITION BY ts_code, end_date ORDER BY source_order DESC NULLS LAST, row_id DESC) = 1)" for k, f in (("1", "revenue"), ("2", "n_income"), ("3", "basic_eps")))
+        + " SELECT ts_code, end_date, revenue, n_income, basic_eps FROM s1 FULL JOIN s2 USING (ts_code, end_date) FULL JOIN s3 USING (ts_code, end_date)",
         "calendar_sessions": "SELECT cal_date AS session, row_number() OVER (ORDER BY cal_date) - 1 AS session_idx, lag(cal_date) OVER (ORDER BY cal_date) AS previous, lead(cal_date) OVER (ORDER BY cal_date) AS next FROM (SELECT DISTINCT cal_date FROM trade_cal WHERE exchange = 'SSE' AND is_open = 1)",
         "calendar_problems": "SELECT exchange, cal_date, 'broken chain' AS problem FROM (SELECT *, max(CASE WHEN is_open = 1 THEN cal_date END) OVER (PARTITION BY exchange ORDER BY cal_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM trade_cal) WHERE is_open = 1 AND p <> pretrade_date",
         "calendar_window": "SELECT session, session_idx FROM (SELECT cal_date AS session, row_number() OVER (ORDER BY cal_date) - 1 AS session_idx FROM (SELECT DISTINCT cal_date FROM trade_cal WHERE exchange = 'SZSE' AND is_open = 1)) WHERE session <= '20220701' ORDER BY session DESC LIMIT 20",
@@ -316,16 +367,16 @@ def oracle_sql() -> dict[str, str]:
         "analysis_sector_quantiles": f"{x}, {_LABELS}, d AS (SELECT industry, q, session, avg(r) AS m FROM labels WHERE q IS NOT NULL AND r IS NOT NULL GROUP BY 1, 2, 3) SELECT industry, q, round(avg(m), 6) AS mean_return FROM d GROUP BY 1, 2",
         "analysis_alpha_beta": f"{returns}, a AS (SELECT count(*) AS n, regr_intercept(factor_return, universe_return) AS a, regr_slope(factor_return, universe_return) AS b, regr_sxx(factor_return, universe_return) AS sxx, regr_syy(factor_return, universe_return) AS syy, regr_sxy(factor_return, universe_return) AS sxy, avg(universe_return) AS mx FROM fr) "
         f"SELECT n, round(pow(1 + a, {year}) - 1, 6) AS alpha, round(b, 6) AS beta, round(a / (sqrt(greatest(syy - b * sxy, 0) / (n - 2)) * sqrt(1.0 / n + mx * mx / sxx)), 6) AS t_alpha FROM a",
-        "performance_drawdown": f"{_DAYS} SELECT asset, day, round(drawdown, 6) AS drawdown FROM dd",
-        "performance_monthly": f"{_DAYS} SELECT asset, year(day) AS year, month(day) AS month, round(product(1 + returns) - 1, 6) AS return FROM d GROUP BY 1, 2, 3",
-        "performance_yearly": f"{_DAYS} SELECT asset, year(day) AS year, round(product(1 + returns) - 1, 6) AS return FROM d GROUP BY 1, 2",
-        "performance_rolling": f"{_DAYS} SELECT asset, day, round(CASE WHEN count(*) OVER w = 12 THEN stddev_samp(returns) OVER w * sqrt({year}) END, 6) AS volatility, round(CASE WHEN count(*) OVER w = 12 THEN avg(returns) OVER w * sqrt({year}) / nullif(stddev_samp(returns) OVER w, 0) END, 6) AS sharpe FROM d WINDOW w AS (PARTITION BY asset ORDER BY day ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)",
-        "performance_cumulative": f"{_DAYS} SELECT asset, day, round(exp(sum(ln(1 + returns)) OVER (PARTITION BY asset ORDER BY day)) - 1, 6) AS cumulative FROM d",
-        "performance_moving": f"{_DAYS} SELECT asset, day, round(CASE WHEN count(*) OVER w >= 5 THEN avg(returns) OVER w END, 6) AS moving_mean FROM d WINDOW w AS (PARTITION BY asset ORDER BY day ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)",
+        "performance_drawdown": f"{_DAYS} SELECT asset, day, printf('%.6e', CAST(drawdown AS DOUBLE)) AS drawdown FROM dd",
+        "performance_monthly": f"{_DAYS} SELECT asset, year(day) AS year, month(day) AS month, printf('%.6e', CAST(product(1 + returns) - 1 AS DOUBLE)) AS return FROM d GROUP BY 1, 2, 3",
+        "performance_yearly": f"{_DAYS} SELECT asset, year(day) AS year, printf('%.6e', CAST(product(1 + returns) - 1 AS DOUBLE)) AS return FROM d GROUP BY 1, 2",
+        "performance_rolling": f"{_DAYS} SELECT asset, day, printf('%.6e', CAST(CASE WHEN count(*) OVER w = 12 THEN stddev_samp(returns) OVER w * sqrt({year}) END AS DOUBLE)) AS volatility, printf('%.6e', CAST(CASE WHEN count(*) OVER w = 12 THEN avg(returns) OVER w * sqrt({year}) / nullif(stddev_samp(returns) OVER w, 0) END AS DOUBLE)) AS sharpe FROM d WINDOW w AS (PARTITION BY asset ORDER BY day ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)",
+        "performance_cumulative": f"{_DAYS} SELECT asset, day, printf('%.6e', CAST(exp(sum(ln(1 + returns)) OVER (PARTITION BY asset ORDER BY day)) - 1 AS DOUBLE)) AS cumulative FROM d",
+        "performance_moving": f"{_DAYS} SELECT asset, day, printf('%.6e', CAST(CASE WHEN count(*) OVER w >= 5 THEN avg(returns) OVER w END AS DOUBLE)) AS moving_mean FROM d WINDOW w AS (PARTITION BY asset ORDER BY day ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)",
         "performance_histogram": "WITH s AS (SELECT min(o_totalprice) AS a, (max(o_totalprice) - min(o_totalprice)) / 20 AS w FROM orders) SELECT CAST(least(floor((o_totalprice - a) / w), 19) + 1 AS INT) AS bin, count(*) AS n FROM orders, s GROUP BY 1",
         "performance_attribution": "WITH one AS (SELECT * FROM positions QUALIFY row_number() OVER (PARTITION BY trade_date, ts_code, index_code ORDER BY position_id DESC) = 1) SELECT ts_code, count(DISTINCT trade_date) AS days_held, round(sum(weight * asset_return), 6) AS contribution, round(avg(weight), 6) AS mean_weight, arg_max_null(market_value, row(coalesce(trade_date, ''), coalesce(index_code, ''))) AS last_value FROM one GROUP BY 1",
         "performance_metrics": f"{_DAYS}, s AS (SELECT asset, count(returns) AS n, product(1 + returns) - 1 AS total_return, avg(returns) AS m, stddev_samp(returns) AS s, avg(pow(least(returns, 0), 2)) AS down, abs(min(drawdown)) AS mdd, avg(benchmark_return) AS mb, covar_samp(returns, benchmark_return) AS cov, var_samp(benchmark_return) AS vb, avg(returns - benchmark_return) AS mx, stddev_samp(returns - benchmark_return) AS sx, product(1 + benchmark_return) - 1 AS bt FROM dd GROUP BY 1), "
-        f"c AS (SELECT *, CASE WHEN total_return <= -1 THEN -1 ELSE pow(1 + total_return, {year}.0 / greatest(1, n - 1)) - 1 END AS cagr FROM s) SELECT asset, n, round(total_return, 6) AS total_return, round(cagr, 6) AS cagr, round(coalesce(s, 0) * sqrt({year}), 6) AS volatility, round(m * sqrt({year}) / nullif(s, 0), 6) AS sharpe, round(m * sqrt({year}) / nullif(sqrt(down), 0), 6) AS sortino, round(mdd, 6) AS max_drawdown, round(cagr / nullif(mdd, 0), 6) AS calmar, round(cov / nullif(vb, 0), 6) AS beta, round((m - cov / nullif(vb, 0) * mb) * {year}, 6) AS alpha, round(sx * sqrt({year}), 6) AS tracking_error, round(mx * {year} / nullif(sx * sqrt({year}), 0), 6) AS information_ratio, round(bt, 6) AS benchmark_total_return, round(total_return - bt, 6) AS total_excess_return FROM c",
+        f"c AS (SELECT *, CASE WHEN total_return <= -1 THEN -1 ELSE pow(1 + total_return, {year}.0 / greatest(1, n - 1)) - 1 END AS cagr FROM s) SELECT asset, n, printf('%.6e', CAST(total_return AS DOUBLE)) AS total_return, printf('%.6e', CAST(cagr AS DOUBLE)) AS cagr, printf('%.6e', CAST(coalesce(s, 0) * sqrt({year}) AS DOUBLE)) AS volatility, printf('%.6e', CAST(m * sqrt({year}) / nullif(s, 0) AS DOUBLE)) AS sharpe, printf('%.6e', CAST(m * sqrt({year}) / nullif(sqrt(down), 0) AS DOUBLE)) AS sortino, printf('%.6e', CAST(mdd AS DOUBLE)) AS max_drawdown, printf('%.6e', CAST(cagr / nullif(mdd, 0) AS DOUBLE)) AS calmar, printf('%.6e', CAST(cov / nullif(vb, 0) AS DOUBLE)) AS beta, printf('%.6e', CAST((m - cov / nullif(vb, 0) * mb) * {year} AS DOUBLE)) AS alpha, printf('%.6e', CAST(sx * sqrt({year}) AS DOUBLE)) AS tracking_error, printf('%.6e', CAST(mx * {year} / nullif(sx * sqrt({year}), 0) AS DOUBLE)) AS information_ratio, printf('%.6e', CAST(bt AS DOUBLE)) AS benchmark_total_return, printf('%.6e', CAST(total_return - bt AS DOUBLE)) AS total_excess_return FROM c",
         "quality_rules": _quality_sql(),
         "quality_partial_nulls": " UNION ALL ".join(f"SELECT 'stock_daily' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS nulls FROM stock_daily HAVING count({c}) < count(*) AND count({c}) > 0" for c in ("row_id", "trade_date", "ts_code", "open", "high", "low", "close", "pre_close", "volume", "turnover", "load_id", "loaded_at")),
         "quality_weight_sums": "SELECT index_code, snapshot_date, round(sum(weight), 4) AS total FROM index_weight GROUP BY 1, 2 HAVING sum(weight) < 95 OR sum(weight) > 105",

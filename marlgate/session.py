@@ -67,6 +67,11 @@ def passing(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a context: they need not have it, nor run in its folder."""
     context = spark.sparkContext

@@ -1,7 +1,7 @@
 """Merging deliveries into tables, and publishing whole generations.
 
-All merges are expressed on DataFrames; a generation is written beside the one in force and published by one rename
-(``operators.incremental.Generations``), so readers never see half a write.
+All merges are expressed on DataFrames; a table is written beside the one in force and swapped in, a generation with its
+output and tree is published by one rename (``operators.incremental.Generations``), so readers never see half a write.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,10 +19,10 @@ from marlgate.sources.registry import Table, normalized
 
 
 def keep_last(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row a key, the last by ``order`` (nulls first)."""
-    name = free_name(df, "_rank")
-    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) == 1).drop(name)
+    """One row a key, the last by ``order`` (nulls first). An aggregate that combines before the shuffle, so a key of many rows sends one a task."""
+    name = free_name(df, "_last")
+    whole, at = F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*[F.col(f"`{c}`") for c in order])
+    return df.groupBy(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(key)]).agg(F.max_by(whole, at).alias(name)).select(f"{name}.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -45,37 +46,97 @@ def replace_ranges(old: DataFrame, new: DataFrame, by: str, date: str) -> DataFr
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def write_table(df: DataFrame, spec: Table, folder: str, codec: str = "zstd") -> str:
-    """Normalise, spread by partition, sort within and write compressed Parquet."""
+def merge_calendar(old: DataFrame, new: DataFrame, end: str | None = None) -> DataFrame:
+    """Calendar days of both, those delivered anew instead of the old ones, none after ``end``."""
+    merged = upsert(old, new, ["exchange", "cal_date"])
+    return merged if end is None else merged.where(F.col("cal_date") <= F.lit(end))
+
+
+def pruned(df: DataFrame, column: str, allowed: Sequence[str]) -> DataFrame:
+    """Rows whose code is among the allowed ones; a null code isn't."""
+    return df.where(F.col(column).isin(list(allowed)))
+
+
+def write_table(df: DataFrame, spec: Table, folder: str, codec: str = "zstd", rows_a_file: int = 2_000_000) -> str:
+    """Normalise, spread by partition and hashed key, sort within, write compressed Parquet beside the table and swap it in.
+
+    A partition is written by as many tasks as its table's rows ask for, not by one. Readers see the old table or the new
+    one; what dies before the swap leaves the old one, and ``recover_table`` finishes a swap that died in the middle.
+    """
     made = normalized(df, spec)
     parts = [p for p in spec.partition if p in made.columns]
     inside = [c for c in (*spec.key,) if c in made.columns and c not in parts]
+    buckets = 1 + made.count() // rows_a_file
     if parts:
-        made = made.repartition(*parts)
+        made = made.repartition(*parts, *([F.pmod(F.xxhash64(*inside), F.lit(buckets))] if buckets > 1 and inside else []))
     path = f"{folder.rstrip('/')}/{spec.path}"
-    writer = (made.sortWithinPartitions(*parts, *inside) if parts or inside else made).write.mode("overwrite").option("compression", codec)
-    (writer.partitionBy(*parts) if parts else writer).parquet(path)
+    staged = _beside(path, "staged")
+    writer = (made.sortWithinPartitions(*parts, *inside) if parts or inside else made).write.mode("overwrite").option("compression", codec).option("maxRecordsPerFile", rows_a_file)
+    (writer.partitionBy(*parts) if parts else writer).parquet(staged)
+    swap(df.sparkSession, staged, path)
     return path
 
 
-def manifest(spark: SparkSession, folder: str, names: Sequence[Table], content: bool = True) -> DataFrame:
-    """table_name, path, bytes and sha256 of every file of a generation, computed by the executors."""
+def _beside(path: str, what: str) -> str:
+    folder, _, name = path.rpartition("/")
+    return f"{folder}/.{name}-{what}"
+
+
+def swap(spark: SparkSession, staged: str, path: str) -> None:
+    """Put the staged folder in the place of the one in force, which is put back if that fails."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    old = _beside(path, "old")
+    fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(place(old), True)
+    had = fs.exists(place(path))
+    if had and not fs.rename(place(path), place(old)):
+        raise OSError(f"{path} can't be put aside")
+    if not fs.rename(place(staged), place(path)):
+        if had:
+            fs.rename(place(old), place(path))
+        raise OSError(f"{staged} can't be published")
+    fs.delete(place(old), True)
+
+
+def recover_table(spark: SparkSession, path: str) -> bool:
+    """After a crash: the old table comes back if it was put aside and nothing took its place. True if that was so."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    lost = fs.exists(place(_beside(path, "old"))) and not fs.exists(place(path))
+    if lost:
+        fs.rename(place(_beside(path, "old")), place(path))
+    for what in ("old", "staged"):
+        fs.delete(place(_beside(path, what)), True)
+    return lost
+
+
+def manifest(spark: SparkSession, folder: str, names: Sequence[Table], content: bool = True, most_bytes: int = 1 << 28) -> DataFrame:
+    """table_name, path, bytes, rows, digest (of all rows, in any order) and sha256 of every file of a generation.
+
+    Rows and digest come from a split scan, whatever the size of a file; sha256 needs a file whole, so it is null beyond ``most_bytes``.
+    """
     frames = []
     for spec in names:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{folder.rstrip('/')}/{spec.path}")
-        digest = F.sha2(F.col("content"), 256) if content else F.lit(None).cast("string")
-        frames.append(files.select(F.lit(spec.name).alias("table_name"), "path", F.col("length").alias("bytes"), digest.alias("sha256")))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        path = f"{folder.rstrip('/')}/{spec.path}"
+        rows = spark.read.parquet(path)
+        h = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+        told = rows.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(F.shiftrightunsigned(h, 20)).alias("digest")
+        )
+        if content:
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).where(F.col("length") <= most_bytes)
+            told = told.join(files.select("path", F.sha2("content", 256).alias("sha256")), "path", "left")
+        else:
+            told = told.withColumn("sha256", F.lit(None).cast("string"))
+        frames.append(told.select(F.lit(spec.name).alias("table_name"), "path", "bytes", "rows", "digest", "sha256"))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     """Files that are missing, new or different against a manifest: table_name, path, problem."""
-    a = before.select("path", F.col("table_name").alias("t0"), F.col("bytes").alias("b0"), F.col("sha256").alias("s0"))
-    b = after.select("path", F.col("table_name").alias("t1"), F.col("bytes").alias("b1"), F.col("sha256").alias("s1"))
-    problem = F.when(F.col("t1").isNull(), "missing").when(F.col("t0").isNull(), "new").when(~F.col("b0").eqNullSafe(F.col("b1")) | ~F.col("s0").eqNullSafe(F.col("s1")), "different")
+    whole = F.struct("bytes", "rows", "digest", "sha256")
+    a, b = before.select("path", F.col("table_name").alias("t0"), whole.alias("w0")), after.select("path", F.col("table_name").alias("t1"), whole.alias("w1"))
+    problem = F.when(F.col("t1").isNull(), "missing").when(F.col("t0").isNull(), "new").when(~F.col("w0").eqNullSafe(F.col("w1")), "different")
     return a.join(b, "path", "full_outer").select(F.coalesce("t0", "t1").alias("table_name"), "path", problem.alias("problem")).where("problem is not null")
 
 

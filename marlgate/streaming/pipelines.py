@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marlgate.sources.writer import upsert
+from marlgate.session import cut, exists, small
+from marlgate.sources.writer import keep_last, upsert
 
 
 def file_stream(spark: SparkSession, folder: str, schema, files_a_batch: int = 100) -> DataFrame:
@@ -20,7 +21,7 @@ def file_stream(spark: SparkSession, folder: str, schema, files_a_batch: int = 1
 
 
 def event_windows(events: DataFrame, length: str = "1 day", slide: str | None = None, late: str = "7 days", by: Sequence[str] = ("event_type",)) -> DataFrame:
-    """window_start, keys, n, total, users (approximate) over event time; works on streams and on tables.
+    """window_start, keys, n, total over event time; works on streams and on tables.
 
     Events later than ``late`` behind the newest are dropped by a stream; a table has no late events.
     """
@@ -55,6 +56,21 @@ def upsert_stream(stream: DataFrame, read: Callable[[], DataFrame | None], publi
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_partitions(stream: DataFrame, path: str, part: str, key: Sequence[str], order: Sequence[str], checkpoint: str) -> StreamingQuery:
+    """Keep a table, partitioned by ``part``, at the last row of each key: a micro-batch reads and rewrites the partitions it
+    touches and no others. ``part`` must follow from the key. A batch that is repeated after a failure gives the same table."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:  # noqa: ARG001
+        spark, merged = batch.sparkSession, batch
+        if exists(spark, path):
+            old = spark.read.schema(batch.schema).parquet(path)
+            merged = upsert(old.join(small(batch.select(part).distinct()), part, "left_semi"), batch, key, order)
+        # its input lies in the place it goes to, so the result is written aside first
+        cut(keep_last(merged, key, order)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Everything that is there now, appended to Parquet exactly once; returns when done."""
     stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
