@@ -1,7 +1,7 @@
 """Terms of the factor language: immutable, shared where equal, built by ordinary Python operators.
 
 A term is an operation with child terms and fixed parameters. Kinds: ``scalar`` (within a cell), ``series`` (along an
-asset's sessions), ``recursive`` (along sessions, each value from the one before), ``section`` (across a session's assets).
+asset's sessions), ``recursive`` (along sessions, each value from the one before, or from a whole window at once), ``section`` (across a session's assets).
 Missing is null; comparisons with null are false, ``!=`` is true; a number counts as a condition unless it is zero.
 """
 
@@ -12,8 +12,8 @@ from dataclasses import dataclass, field
 SCALAR, SERIES, RECURSIVE, SECTION = "scalar", "series", "recursive", "section"
 CONDITIONS = frozenset({"lt", "le", "gt", "ge", "eq", "ne", "and", "or", "not", "truth", "present", "true"})
 KIND_OF = {
-    **dict.fromkeys(("shift", "roll", "roll2", "shape", "trend", "running_sum", "last_true", "session", "final"), SERIES),
-    **dict.fromkeys(("ewm", "dma", "kama"), RECURSIVE),
+    **dict.fromkeys(("shift", "roll", "roll2", "trend", "running_sum", "last_true", "session", "final"), SERIES),
+    **dict.fromkeys(("ewm", "dma", "kama", "shape"), RECURSIVE),
     **dict.fromkeys(("x_rank", "x_min", "x_max", "x_mean", "x_std"), SECTION),
 }
 

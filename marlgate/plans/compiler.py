@@ -5,7 +5,7 @@ ready is added first (one shuffle by asset serves all of it, whatever the depth)
 shuffle by session); the two only alternate where an expression really nests them. Recursive terms of a stage share one
 grouped Arrow function. All else stays in JVM expressions.
 
-The panel has a row for every session of an asset between its first and its last (``dense_panel``): a shift counts sessions.
+The panel has a row for every session of the calendar and every asset (``dense_panel``): a shift counts sessions.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,14 +92,7 @@ def series_column(term: Term, args: list[Column]) -> Column:
         if p[0] == "cov":
             return F.when(both, over(F.covar_samp(x, y)))
         return F.when(both, F.try_divide(over(F.covar_pop(x, y)), over(F.stddev_pop(x)) * over(F.stddev_pop(y))))
-    values = over(F.collect_list(x))
-    shapes: dict[str, Callable[[], Column]] = {
-        "argmax": lambda: F.array_position(values, F.array_max(values)) - 1, "argmin": lambda: F.array_position(values, F.array_min(values)) - 1,
-        "rank": lambda: (F.size(F.filter(values, lambda e: e < x)) + (F.size(F.filter(values, lambda e: e == x)) + 1) / 2) / n,
-        "mad": lambda: F.aggregate(values, F.lit(0.0), lambda s, e: s + F.abs(e - over(F.avg(x)))) / n,
-        "weighted": lambda: F.aggregate(F.zip_with(values, F.sequence(F.lit(1), F.lit(n)), lambda e, w: e * w), F.lit(0.0), lambda s, e: s + e) / (n * (n + 1) / 2),
-    }
-    return F.when(full, shapes[p[0]]()).cast("double")
+    raise ValueError(f"unknown term {op}")
 
 
 def section_column(term: Term, x: Column) -> Column:
@@ -110,9 +104,34 @@ def section_column(term: Term, x: Column) -> Column:
     return {"x_min": F.min, "x_max": F.max, "x_mean": F.avg, "x_std": F.stddev_pop}[term.op](x).over(across())
 
 
+def window_shapes(how: str, x: np.ndarray, n: int) -> np.ndarray:
+    """What needs a window's values themselves, for all windows of one asset at once; missing unless all n are there."""
+    out = np.full(len(x), np.nan)
+    if len(x) < n:
+        return out
+    windows = np.lib.stride_tricks.sliding_window_view(x, n)
+    whole = np.isfinite(windows).all(axis=1)
+    v = windows[whole]
+    if how == "argmax":
+        made = v.argmax(axis=1)
+    elif how == "argmin":
+        made = v.argmin(axis=1)
+    elif how == "rank":
+        last = v[:, -1:]
+        made = ((v < last).sum(axis=1) + ((v == last).sum(axis=1) + 1) / 2) / n
+    elif how == "mad":
+        made = np.abs(v - v.mean(axis=1, keepdims=True)).mean(axis=1)
+    else:
+        made = v @ np.arange(1, n + 1) / (n * (n + 1) / 2)
+    out[n - 1 :][whole] = made
+    return out
+
+
 def recursive_values(term: Term, x: np.ndarray, y: np.ndarray | None) -> np.ndarray:
     """One asset's values in session order; NaN is missing."""
     out = np.full(len(x), np.nan)
+    if term.op == "shape":
+        return window_shapes(term.params[0], x, term.params[1])
     if term.op == "ewm":
         alpha, least = term.params
         if alpha == 1.0 or len(x) == 0:
@@ -139,16 +158,15 @@ def add_recursive(df: DataFrame, work: list[tuple[str, Term, list[str]]]) -> Dat
     """All recursive terms of a stage, computed asset by asset in one pass. A group is one asset's sessions: days, not rows."""
     schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name, _, _ in work]])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("session_idx", kind="stable").reset_index(drop=True)
-        for name, term, inputs in work:
-            values = [rows[c].to_numpy("float64") for c in inputs]
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows["session_idx"].to_numpy(), kind="stable"))).combine_chunks()
+        for name, term, inputs in work:  # only what a term needs leaves Arrow
+            values = [rows[c].cast(pa.float64()).to_numpy() for c in inputs]
             made = recursive_values(term, values[0], values[1] if len(values) > 1 else None)
-            rows[name] = pd.Series(made).where(np.isfinite(made), None).astype("float64")
+            rows = rows.append_column(name, pa.array(made, pa.float64(), mask=~np.isfinite(made)))
         return rows
 
-    made = df.groupBy("asset").applyInPandas(run, schema)
-    return made.withColumns({name: F.when(~F.isnan(name), F.col(name)) for name, _, _ in work})
+    return df.groupBy("asset").applyInArrow(run, schema)
 
 
 def evaluate(panel: DataFrame, expressions: dict[str, str | Term], keep: tuple[str, ...] = (), fields: Callable[[str], Column] | None = None) -> DataFrame:
@@ -209,8 +227,10 @@ def dense_panel(rows: DataFrame, values: list[str]) -> DataFrame:
 
     The calendar (its distinct sessions) comes to the driver: as many values as there are trading days.
     """
-    days = [r[0] for r in rows.select("session").distinct().collect()]
-    calendar = F.array(*[F.lit(d) for d in sorted(d for d in days if d is not None)]) if days else F.array().cast(T.ArrayType(rows.schema["session"].dataType))
+    kind = rows.schema["session"].dataType
+    days = sorted(r[0] for r in rows.select("session").distinct().collect() if r[0] is not None)
+    # one literal for the whole calendar
+    calendar = (F.split(F.lit(",".join(map(str, days))), ",") if days else F.array()).cast(T.ArrayType(kind))
     grid = rows.select("asset").distinct().select("asset", F.posexplode(calendar).alias("session_idx", "session"))
     return grid.join(rows.select("asset", "session", *values), ["asset", "session"], "left").select("asset", "session", "session_idx", *values)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlgate.plans.algebra import RECURSIVE, SCALAR, SECTION, Term, number, post_order
+from marlgate.plans.algebra import SCALAR, SECTION, Term, number, post_order
 from marlgate.plans.parser import parse
 
 HALF = 0.500031  # rounding by floor, off the exact half: prices in cents a piece often end there, and engines break ties apart
@@ -50,7 +50,7 @@ def _window(term: Term, a: list[str]) -> str:
         return f"CASE WHEN {a[0]} IS NOT NULL THEN sum({a[0]}) OVER {upto} END"
     if op == "last_true":
         return f"CAST(max(CASE WHEN {a[0]} > 0 THEN session_idx END) OVER {upto} AS DOUBLE)"
-    if term.kind == RECURSIVE:
+    if op in ("ewm", "dma", "kama"):
         return _fold(term, a, upto)
     if op == "final":
         return f"last_value({a[0]}) OVER ({WINDOW} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"

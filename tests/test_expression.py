@@ -61,10 +61,17 @@ def test_operators_equal_pandas(panel, wide):
         pd.testing.assert_frame_equal(have.reset_index(drop=True), want[NAMES], check_names=False, check_column_type=False, rtol=1e-9, atol=1e-9, obj=e)
 
 
+def shortened(expression: str) -> str:
+    """The call with windows that fit a short panel."""
+    for long, short in (("79", "8"), ("23", "6"), ("15", "5"), ("11", "4"), (" 7", " 5")):
+        expression = expression.replace(long, short)
+    return expression
+
+
 def test_every_operator_has_a_query_and_a_result(panel):
     assert set(factor_queries.EXAMPLES) == set(available_operators()) and len(OPERATORS) == 129
     small = panel.withColumnsRenamed({}).selectExpr("*", "close * 1.01 as high", "close * 0.99 as low", "close * volume as turnover")
-    out = evaluate(small, {k.lower(): e for k, e in factor_queries.EXAMPLES.items() if k not in ("LOG",)}).toPandas()
+    out = evaluate(small, {k.lower(): shortened(e) for k, e in factor_queries.EXAMPLES.items() if k not in ("LOG",)}).toPandas()
     assert len(out) == ROWS * 4
     assert [c for c in out if c not in ("asset", "session", "session_idx") and out[c].isna().all()] == []
 
