@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlgate.functions.normalize import blank, eight_digit_day
@@ -107,3 +107,23 @@ def status(findings: DataFrame) -> DataFrame:
     """table_name, status: fail before warn before pass."""
     broken = lambda s: F.max(((F.col("severity") == s) & (F.col("count") > 0)).cast("int")) == 1
     return findings.groupBy("table_name").agg(F.when(broken(FAIL), FAIL).when(broken(WARN), WARN).otherwise(PASS).alias("status"))
+
+
+def unreadable_tables(spark: SparkSession, folder: str, specs: Sequence[Table]) -> DataFrame:
+    """One finding a table: 1 where its files are missing or no Parquet, 0 where they can be read (checked by their footers)."""
+    rows = []
+    for spec in specs:
+        try:
+            spark.read.parquet(f"{folder.rstrip('/')}/{spec.path}").limit(1).count()
+            rows.append((spec.name, "readable_table", FAIL, 0))
+        except Exception:  # noqa: BLE001 whatever the reader raises, the table can't be read
+            rows.append((spec.name, "readable_table", FAIL, 1))
+    return spark.createDataFrame(rows, "table_name string, rule string, severity string, count bigint")
+
+
+def write_report(findings: DataFrame, folder: str) -> None:
+    """Findings and the tables' status as CSV and JSON folders; both are small."""
+    for name, frame in (("findings", findings), ("status", status(findings))):
+        one = frame.coalesce(1)
+        one.write.mode("overwrite").option("header", True).csv(f"{folder.rstrip('/')}/{name}.csv")
+        one.write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}.json")
