@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,13 +111,6 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def texts(values: Iterable):
-    """A pandas column of Python strings: never backed by chunks, which Arrow batches of grouped functions refuse."""
-    import pandas as pd
-
-    return pd.Series(list(values), dtype=object)
-
-
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

@@ -143,15 +143,25 @@ def recursive_values(term: Term, x: np.ndarray, y: np.ndarray | None) -> np.ndar
     if term.op == "dma":
         if np.any((y <= 0) | (y >= 1)):
             raise ValueError("DMA needs factors between 0 and 1")
-        out[:1] = x[:1]
-        for t in range(1, len(x)):
-            out[t] = y[t] * x[t] + (1 - y[t]) * out[t - 1]
-        return out
-    out[:1] = x[:1]
-    for t in range(1, len(x)):
-        before = out[t - 1] if np.isfinite(out[t - 1]) else x[t - 1]
-        out[t] = before + y[t] * (x[t] - before)
-    return out
+        return _folded(x, y, lambda before, value, factor: factor * value + (1 - factor) * before)
+    last = [np.nan]
+
+    def adapted(before: float, value: float, factor: float) -> float:
+        start = before if before == before else last[0]  # after a gap from the value before
+        last[0] = value
+        return start + factor * (value - start)
+
+    last[0] = x[0] if len(x) else np.nan
+    return _folded(x, y, adapted)
+
+
+def _folded(x: np.ndarray, y: np.ndarray, step: Callable[[float, float, float], float]) -> np.ndarray:
+    """The first value, then each from the one before; over plain numbers, which Python handles fastest."""
+    values, factors = x.tolist(), y.tolist()
+    out = values[:1]
+    for value, factor in zip(values[1:], factors[1:], strict=True):
+        out.append(step(out[-1], value, factor))
+    return np.array(out, dtype=float)
 
 
 def add_recursive(df: DataFrame, work: list[tuple[str, Term, list[str]]]) -> DataFrame:
