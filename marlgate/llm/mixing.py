@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_BROADCAST = 100_000  # sources
 BITS = 12  # of each of the two bucket levels
-MOST_SOURCES = 10_000  # a table of targets, read by the driver
 
 
 def sampling_key(seed: int) -> Column:
@@ -47,8 +47,9 @@ def mix(sizes: DataFrame, targets: list[tuple[str, float, int]], seed: int = 7)
     if any(share is None or share <= 0 or repeat is None or repeat < 1 for _, share, repeat in targets):
         raise ValueError("targets need a positive share and at least one use")
     spark = sizes.sparkSession
-    wanted = [s for s, _, _ in targets]
-    rows = sizes.where(F.col("source").isin(wanted) & (F.col("n_tokens") > 0)).withColumn("key", sampling_key(seed))
+    by_source = F.broadcast if len(targets) <= MOST_BROADCAST else (lambda frame: frame)  # frames of one row a source
+    wanted = by_source(spark.createDataFrame([(s,) for s, _, _ in targets], "source string"))
+    rows = sizes.where("n_tokens > 0").join(wanted, "source", "left_semi").withColumn("key", sampling_key(seed))
     # the key's exponential law turns it into a nearly even place, whatever the weights
     place = F.least(F.floor((1 - F.exp(-F.col("key") * F.lit(0.5))) * float(1 << 2 * BITS)), F.lit((1 << 2 * BITS) - 1)).cast("int")
     rows = rows.withColumn("high", F.shiftright(place, BITS)).withColumn("low", place.bitwiseAND((1 << BITS) - 1))
@@ -57,7 +58,7 @@ def mix(sizes: DataFrame, targets: list[tuple[str, float, int]], seed: int = 7)
     if not plan:
         return sizes.select("doc_id", "source", "n_tokens", F.lit(1).alias("uses")).limit(0)
     planned = spark.createDataFrame([(s, epochs, rest) for s, (epochs, rest, _) in plan.items()], "source string, epochs bigint, rest bigint")
-    rows = rows.join(F.broadcast(planned), "source")
+    rows = rows.join(by_source(planned), "source")
 
     def boundary(part: DataFrame, level: str, room: str) -> DataFrame:
         """Of each source the bucket where the room ends, and the room left before it."""
@@ -68,23 +69,21 @@ def mix(sizes: DataFrame, targets: list[tuple[str, float, int]], seed: int = 7)
         )
 
     first = boundary(rows, "high", "rest")
-    rows = rows.join(F.broadcast(first), "source", "left")
+    rows = rows.join(by_source(first), "source", "left")
     at_end = rows.where(F.col("high") == F.col("end_high"))
     second = boundary(at_end, "low", "room_high")
-    last = at_end.join(F.broadcast(second), "source", "left").where(F.col("low") == F.col("end_low"))
+    last = at_end.join(by_source(second), "source", "left").where(F.col("low") == F.col("end_low"))
     order = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     exact = last.withColumn("upto", F.sum("n_tokens").over(order)).where(F.col("upto") <= F.col("room_low")).select("doc_id", "source", F.lit(1).alias("last"))
-    chosen = rows.join(F.broadcast(second), "source", "left")
+    chosen = rows.join(by_source(second), "source", "left")
     before = F.col("end_high").isNull() | (F.col("high") < F.col("end_high")) | ((F.col("high") == F.col("end_high")) & (F.col("end_low").isNull() | (F.col("low") < F.col("end_low"))))
     uses = F.col("epochs") + F.when(before & (F.col("rest") > 0), 1).otherwise(F.coalesce("last", F.lit(0)))
     return chosen.join(exact.distinct(), ["doc_id", "source"], "left").select("doc_id", "source", "n_tokens", uses.cast("int").alias("uses")).where("uses > 0")
 
 
 def target_rows(mix_targets: DataFrame) -> list[tuple[str, float, int]]:
-    rows = mix_targets.select("source", "target_share", "max_repeat").where("source is not null").limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} target sources")
-    return sorted((r[0], r[1], r[2]) for r in rows)
+    """The sampling plan, one row a source."""
+    return sorted((r[0], r[1], r[2]) for r in mix_targets.select("source", "target_share", "max_repeat").where("source is not null").toLocalIterator())
 
 
 def share_report(mixture: DataFrame, mix_targets: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ A capacity below one, or none, is an error. An empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from marlgate.session import cut
 
-MOST_CONTAINERS = 1000  # a table of container kinds, read by the driver
+KINDS_AT_ONCE = 1000  # container kinds of one plan; more are packed in turns
 
 
 class SumOfSquares:
@@ -74,6 +76,9 @@ def pack(sizes: DataFrame, containers: list[tuple[str, int]], shard_items: int =
     """
     if not containers or any(c is None or c < 1 for _, c in containers):
         raise ValueError("container capacities must be at least one token")
+    if len(containers) > KINDS_AT_ONCE:
+        turns = [containers[a : a + KINDS_AT_ONCE] for a in range(0, len(containers), KINDS_AT_ONCE)]
+        return reduce(DataFrame.unionByName, [pack(sizes, turn, shard_items, open_share, largest_first) for turn in turns])
     kinds = F.array(*[F.struct(F.lit(n).alias("container"), F.lit(int(c)).alias("capacity")) for n, c in containers])
     # repeated rows are told apart by counting them, so a copy's number doesn't depend on where its row lies
     counted = sizes.where("n_tokens > 0").groupBy("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens")).agg(F.count(F.lit(1)).alias("copies"))
@@ -123,9 +128,8 @@ def pack(sizes: DataFrame, containers: list[tuple[str, int]], shard_items: int =
 
 
 def container_kinds(containers: DataFrame) -> list[tuple[str, int]]:
-    rows = containers.select("container", "capacity_tokens").where("container is not null and capacity_tokens is not null").limit(MOST_CONTAINERS + 1).collect()
-    if len(rows) > MOST_CONTAINERS:
-        raise ValueError(f"more than {MOST_CONTAINERS} kinds of containers")
+    """Name and capacity of every kind: a list of what there is to fill, not of data."""
+    rows = containers.select("container", "capacity_tokens").where("container is not null and capacity_tokens is not null").toLocalIterator()
     return sorted((r[0], r[1]) for r in rows)
 
 

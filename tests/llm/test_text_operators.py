@@ -91,6 +91,14 @@ def test_audits_equal_sql(spark, data, name):
     assert got and got == sql_rows(data, queries.oracle_sql()[name])
 
 
+def test_many_kinds_are_packed_in_turns(spark, monkeypatch):
+    sizes = spark.createDataFrame([(i, 5 + i % 20) for i in range(60)], "doc_id long, n_tokens long")
+    kinds = [("a", 30), ("b", 40), ("c", 50)]
+    whole = Counter(map(tuple, packing.pack(sizes, kinds).collect()))
+    monkeypatch.setattr(packing, "KINDS_AT_ONCE", 2)
+    assert Counter(map(tuple, packing.pack(sizes, kinds).collect())) == whole
+
+
 def test_audit_sees_faults(spark):
     sizes = spark.createDataFrame([(1, 30), (2, 40), (3, 10)], "doc_id long, n_tokens long")
     schema = "container string, capacity int, window string, doc_id long, piece long, first_token long, n_tokens long"
