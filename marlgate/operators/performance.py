@@ -111,3 +111,12 @@ def attribution(positions: DataFrame) -> DataFrame:
         F.countDistinct("trade_date").alias("days_held"), F.sum(F.col("weight") * F.col("asset_return")).alias("contribution"),
         F.avg("weight").alias("mean_weight"), F.max_by("market_value", F.struct("trade_date", "index_code")).alias("last_value"),
     )
+
+
+def open_positions(positions: DataFrame, day: str = "trade_date") -> DataFrame:
+    """One row: the last day with a position, how many assets are held on it with a value above zero, and that value."""
+    held = positions.where(F.col("market_value") > 0)
+    last = positions.agg(F.max(day).alias("last_day"))
+    return held.join(last, F.col(day) == F.col("last_day"), "right").groupBy("last_day").agg(
+        F.countDistinct("ts_code").alias("open_positions"), F.sum("market_value").alias("value")
+    )

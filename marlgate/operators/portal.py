@@ -208,3 +208,38 @@ def safe_end(trade_cal: DataFrame, exchange: str, now: str, cutoff: str = "17:00
     day, _, clock = now.partition(" ")
     upto = F.col("session") <= day if clock >= cutoff else F.col("session") < day
     return sessions(trade_cal, exchange).where(upto).agg(F.max("session")).first()[0]
+
+
+def carried_in(facts: DataFrame, by: Sequence[str], known: str, value: str, start: object, end: object) -> DataFrame:
+    """by, known, value: the facts of a window, and for each entity the last positive one before it, dated at its own time.
+
+    So a carry-forward over the window needs no older history than one row an entity.
+    """
+    rows = facts.where(F.col(value) > 0).select(*by, known, value)
+    before = rows.where(F.col(known) < F.lit(start)).groupBy(*by).agg(F.max(F.struct(known, value)).alias("_x")).select(*by, f"_x.{known}", f"_x.{value}")
+    return before.unionByName(rows.where(F.col(known).between(F.lit(start), F.lit(end))))
+
+
+def index_history(bars: DataFrame, calendar: DataFrame, fields: Sequence[str], start: object, end: object) -> DataFrame:
+    """asset, session and fields of every index and every session of a span; a session without a bar has nulls."""
+    days = calendar.where(F.col("session").between(F.lit(start), F.lit(end))).agg(F.sort_array(F.collect_set("session")).alias("_days"))  # a calendar
+    named = bars.select("asset").where(F.col("asset").isNotNull()).distinct().withColumn("_one", F.lit(1))
+    grid = named.join(days.withColumn("_one", F.lit(1)), "_one").select("asset", F.explode("_days").alias("session"))
+    return grid.join(bars.select("asset", "session", *fields), ["asset", "session"], "left")
+
+
+def statement_history(reports: DataFrame, code: str, report_type: str | None = "1") -> DataFrame:
+    """All versions of one company's reports, in the order they became known."""
+    rows = reports.where(F.col("ts_code") == code)
+    return (rows if report_type is None else rows.where(F.col("report_type") == report_type)).orderBy("effective_ann_date", "end_date", "source_order")
+
+
+def rebalance(now: DataFrame, target: DataFrame, tolerance: float = 2e-4) -> DataFrame:
+    """asset, weight_now, weight_target, change, place: what to trade from one set of weights to the other, reductions first.
+
+    Changes within the tolerance are left out; an asset that one side lacks weighs zero there.
+    """
+    met = now.select("asset", F.col("weight").alias("weight_now")).join(target.select("asset", F.col("weight").alias("weight_target")), "asset", "full_outer").fillna(0.0, ["weight_now", "weight_target"])
+    moved = met.withColumn("change", F.col("weight_target") - F.col("weight_now")).where(F.abs("change") > tolerance)
+    order = Window.partitionBy(F.lit(1)).orderBy(F.col("change") >= 0, F.abs("change").desc(), "asset")  # a portfolio
+    return moved.withColumn("place", F.row_number().over(order))

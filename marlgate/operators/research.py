@@ -91,6 +91,12 @@ class FactorData:
         return masked(self.source(), expressions, "in_universe").where(F.col("session") >= F.lit(self.start)).drop("session_idx")
 
 
+def combined(frames: dict[str, DataFrame], value: str = "value") -> DataFrame:
+    """asset, session and one column for each named frame; a cell that a frame lacks is null there."""
+    out = [f.select("asset", "session", F.col(value).alias(name)) for name, f in frames.items()]
+    return reduce(lambda a, b: a.join(b, ["asset", "session"], "full_outer"), out)
+
+
 def missing_sessions(calendar: DataFrame, rows: DataFrame, date: str, start: object, end: object) -> DataFrame:
     """Sessions of the calendar from start to end for which a table has no row."""
     wanted = calendar.where(F.col("session").between(F.lit(start), F.lit(end))).select("session")

@@ -101,3 +101,9 @@ def normalized(df: DataFrame, spec: Table) -> DataFrame:
         if p in ("year", "report_year"):
             made = made.withColumn(p, F.substring(spec.date_column, 1, 4).try_cast("int"))
     return made
+
+
+def available_fields(prefix: bool = True) -> list[str]:
+    """Every measure of every table, as an expression names it: bare for bars, ``table.field`` for the others."""
+    bare = set(ROLES["daily"])
+    return sorted({c if t.name in bare or not prefix else f"{t.name}.{c}" for t in TABLES.values() for c in t.measures})
