@@ -243,3 +243,10 @@ def rebalance(now: DataFrame, target: DataFrame, tolerance: float = 2e-4) -> Dat
     moved = met.withColumn("change", F.col("weight_target") - F.col("weight_now")).where(F.abs("change") > tolerance)
     order = Window.partitionBy(F.lit(1)).orderBy(F.col("change") >= 0, F.abs("change").desc(), "asset")  # a portfolio
     return moved.withColumn("place", F.row_number().over(order))
+
+
+def flagged(bars: DataFrame, suspensions: DataFrame, specials: DataFrame, on: Sequence[str] = ("ts_code", "trade_date")) -> DataFrame:
+    """Add ``suspended`` (1 where a suspension of type S is listed for the day, in any case) and ``is_st`` (1 where the day lists the asset at all)."""
+    halted = suspensions.where(F.upper(F.coalesce("suspend_type", F.lit(""))) == "S").select(*on).distinct().withColumn("suspended", F.lit(1))
+    listed = specials.select(*on).distinct().withColumn("is_st", F.lit(1))
+    return bars.join(halted, list(on), "left").join(listed, list(on), "left").fillna(0, ["suspended", "is_st"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -86,6 +86,13 @@ class FactorData:
         rows = portal.adjusted(rows, self.adjustment, reference=self.end)
         return portal.universe(rows, self.min_listed_days, self.exclude_flags) if "list_date" in rows.columns else rows.withColumn("in_universe", F.lit(True))
 
+    def prefetch(self) -> FactorData:
+        """The same with its panel kept in memory and on disk, for several histories; ``release`` lets it go."""
+        return replace(self, panel=self.panel.persist())
+
+    def release(self) -> None:
+        self.panel.unpersist()
+
     def history(self, expressions: dict[str, str]) -> DataFrame:
         """asset, session, in_universe and the expressions from start to end."""
         return masked(self.source(), expressions, "in_universe").where(F.col("session") >= F.lit(self.start)).drop("session_idx")
@@ -103,6 +110,13 @@ def missing_sessions(calendar: DataFrame, rows: DataFrame, date: str, start: obj
     return wanted.join(rows.select(F.col(date).alias("session")).distinct(), "session", "left_anti")
 
 
+def missing_months(snapshots: DataFrame, first: str, last: str) -> DataFrame:
+    """series, month (``YYYYMM``): months of a span, both included, in which a series has no snapshot."""
+    span = F.sequence(F.to_date(F.lit(first + "01"), "yyyyMMdd"), F.to_date(F.lit(last + "01"), "yyyyMMdd"), F.expr("interval 1 month"))
+    wanted = snapshots.select("series").where(F.col("series").isNotNull()).distinct().select("series", F.explode(F.transform(span, lambda d: F.date_format(d, "yyyyMM"))).alias("month"))
+    return wanted.join(snapshots.select("series", F.substring("snapshot", 1, 6).alias("month")).distinct(), ["series", "month"], "left_anti")
+
+
 def quarter_ends(start: str, end: str) -> list[str]:
     """Report dates (``YYYYMMDD``) between two days, both included."""
     days = [f"{y}{d}" for y in range(int(start[:4]), int(end[:4]) + 1) for d in ("0331", "0630", "0930", "1231")]

@@ -75,10 +75,13 @@ def series_column(term: Term, args: list[Column]) -> Column:
     full = over(F.count(x)) == n
     if op == "roll":
         how = p[0]
+        even = over(F.min(x)) == over(F.max(x))  # a window of equal values has no skew, and a tail of -3
         if how == "skew":
-            return F.when(full, over(F.skewness(x)) * ((n * (n - 1)) ** 0.5 / (n - 2))) if n > 2 else F.lit(None).cast("double")
+            made = over(F.skewness(x)) * ((n * (n - 1)) ** 0.5 / (n - 2)) if n > 2 else F.lit(None).cast("double")
+            return F.when(full, F.when(even, 0.0 if n > 2 else None).otherwise(made))
         if how == "kurt":
-            return F.when(full, (over(F.kurtosis(x)) * (n + 1) + 6) * ((n - 1) / ((n - 2) * (n - 3)))) if n > 3 else F.lit(None).cast("double")
+            made = (over(F.kurtosis(x)) * (n + 1) + 6) * ((n - 1) / ((n - 2) * (n - 3))) if n > 3 else F.lit(None).cast("double")
+            return F.when(full, F.when(even, -3.0 if n > 3 else None).otherwise(made))
         made = {
             "mean": F.avg, "sum": F.sum, "product": F.product, "std": F.stddev_samp, "var": F.var_samp, "pstd": F.stddev_pop, "max": F.max, "min": F.min,
             "median": lambda c: F.percentile(c, F.lit(0.5)),

@@ -74,6 +74,10 @@ def moments(x: str, n: int) -> dict[str, str]:
     return {f"m{k}": f"list_sum(list_transform({held}, lambda e: pow(e - ({middle}), {k}))) / {n}" for k in (2, 3, 4)}
 
 
+def ends(x: str, n: int) -> dict[str, str]:
+    return {"lo": roll("min", x, n), "hi": roll("max", x, n)}
+
+
 def weighted(x: str, n: int) -> Stages:
     whole = " + ".join(f"{k} * {lag(x, n - k)}" for k in range(1, n + 1))
     return done(f"({whole}) / {n * (n + 1) / 2}")
@@ -207,8 +211,8 @@ FORMULAS: dict[str, Callable[..., Stages]] = {
     "BARSLASTCOUNT": lambda c: done(f"sum(f) OVER (PARTITION BY asset, run ORDER BY session_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", {"f": yes(c)}, {"run": f"sum(1 - f) OVER {UPTO}"}),  # noqa: F541
     "SLOPE": lambda x, n: done(slope(x, n)), "ANGLE": lambda x, n: done(f"degrees(atan({slope(x, n)}))"), "INTERCEPT": lambda x, n: done(f"{mean(x, n)} - k * {(n - 1) / 2}", {"k": slope(x, n)}),
     "FORCAST": lambda x, n: done(f"{mean(x, n)} - k * {(n - 1) / 2} + k * {n}", {"k": slope(x, n)}), "DECAYLINEAR WMA": weighted, "TS_ZSCORE": lambda x, n: done(ratio(f"{x} - {mean(x, n)}", f"({roll('stddev_pop', x, n)})")),
-    "TS_SKEW": lambda x, n: done(f"{(n * (n - 1)) ** 0.5 / (n - 2)!r} * m3 / nullif(pow(m2, 1.5), 0)", moments(x, n)),
-    "TS_KURT": lambda x, n: done(f"{(n - 1) / ((n - 2) * (n - 3))!r} * ({n + 1} * (m4 / nullif(m2 * m2, 0) - 3) + 6)", moments(x, n)), "TS_MEDIAN": lambda x, n: done(roll("median", x, n)),
+    "TS_SKEW": lambda x, n: done(f"CASE WHEN lo = hi THEN 0 ELSE {(n * (n - 1)) ** 0.5 / (n - 2)!r} * m3 / nullif(pow(m2, 1.5), 0) END", moments(x, n) | ends(x, n)),
+    "TS_KURT": lambda x, n: done(f"CASE WHEN lo = hi THEN -3 ELSE {(n - 1) / ((n - 2) * (n - 3))!r} * ({n + 1} * (m4 / nullif(m2 * m2, 0) - 3) + 6) END", moments(x, n) | ends(x, n)), "TS_MEDIAN": lambda x, n: done(roll("median", x, n)),
     "SHARPE": lambda x, n: done(ratio(mean("r", n), f"({roll('stddev_samp', 'r', n)})"), {"r": f"{ratio(x, lag(x))} - 1"}), "SUM_ABS_PRICE_CHANGE": lambda x, n: done(total("d", n), {"d": f"abs({x} - {lag(x)})"}),
     "MEAN_ABS_PRICE_CHANGE ATR": lambda x, n: done(mean("d", n), {"d": f"abs({x} - {lag(x)})"}), "CROSS": lambda x, y: done(yes(ahead_of(x, y))),
     "LONGCROSS": lambda x, y, n: done(yes(f"{ahead_of(x, y)} AND coalesce({roll('min', 'below', n)}, 1) > 0"), {"below": yes(f"{lag(x)} < {lag(y)}")}),

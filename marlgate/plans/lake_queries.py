@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from marlgate.functions.normalize import as_number, day_code, market_code, real_day, trimmed
 from marlgate.operators import analysis, performance, portal, research
+from marlgate.operators.snapshots import index_snapshots
 from marlgate.operators.trailing import latest_bars
 from marlgate.plans.compiler import evaluate
-from marlgate.plans.data_queries import _LATEST, code_sql, day_sql, reports_sql
+from marlgate.plans.data_queries import _LATEST, _SNAPSHOTS, code_sql, day_sql, reports_sql
 from marlgate.plans.factor_queries import PANEL_SQL, monthly_panel
 from marlgate.plans.factor_sql import ALONG, ratio
 from marlgate.plans.market_queries import _DAYS, _RANKS, _corr, _frame_sql, asset_days, factor_frame, reports, shown, tilted_weights
 from marlgate.session import passing, shared_dir
+from marlgate.sources.bundle import build_bundle
 from marlgate.sources.query import LocalData, inventory
 from marlgate.sources.registry import TABLES
 from marlgate.sources.testbed import table
@@ -53,6 +55,23 @@ def lake_sql(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def lake_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """Two generations: the second inherits the first one's master table and brings bars."""
+    where = f"{shared_dir(spark).rstrip('/')}/bundle-{uuid.uuid4().hex}"
+    passing(spark, where)
+    build_bundle(spark, where, {"stock_basic": table(spark, folder, "stock_basic")})
+    return build_bundle(spark, where, {"stock_daily": table(spark, folder, "stock_daily")}).catalog()
+
+
+def flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars with a flag where nothing was traded (as a list of suspensions), and one where the day's list names the asset."""
+    rows = closes(spark, folder)
+    bars = latest_bars(table(spark, folder, "stock_daily")).select("ts_code", F.date_format("day", "yyyyMMdd").alias("trade_date"), "volume")
+    halts = bars.where("coalesce(volume, 0) <= 0").select("ts_code", "trade_date", F.when(F.col("volume") == 0, "s").otherwise("R").alias("suspend_type"))
+    special = rows.where("close < 10").select("ts_code", F.col("day").alias("trade_date"))
+    return portal.flagged(bars.select("ts_code", "trade_date"), halts, special)
+
+
 def closes(spark: SparkSession, folder: str) -> DataFrame:
     return latest_bars(table(spark, folder, "stock_daily")).select("ts_code", F.date_format("day", "yyyyMMdd").alias("day"), "close")
 
@@ -78,7 +97,8 @@ def position_rows(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     t = table
     return {
-        "lake_inventory": lake_inventory, "lake_role": lake_role, "lake_sql": lake_sql,
+        "lake_inventory": lake_inventory, "lake_role": lake_role, "lake_sql": lake_sql, "lake_catalog": lake_catalog, "bars_flagged": flags,
+        "research_months": lambda s, d: research.missing_months(index_snapshots(t(s, d, "index_weight"))[0], "202201", "202306"),
         "asof_carry_in": lambda s, d: portal.carried_in(closes(s, d), ["ts_code"], "day", "close", "20220901", "20220930"),
         "index_history": lambda s, d: portal.index_history(index_closes(s, d), portal.sessions(t(s, d, "trade_cal"), "SSE"), ["close"], "20220801", "20221031"),
         "statement_history": lambda s, d: portal.statement_history(reports(s, d), reports(s, d).agg(F.min("ts_code")).first()[0]).select("ts_code", "end_date", "effective_ann_date", "source_order", "revenue"),
@@ -104,6 +124,11 @@ def oracle_sql() -> dict[str, str]:
         "lake_inventory": f"SELECT try_cast(left({clean('trade_date')}, 4) AS INT) AS year, count(*) AS rows, min({clean('trade_date')}) AS first_date, max({clean('trade_date')}) AS last_date, 'stock_daily' AS table_name FROM stock_daily GROUP BY 1",
         "lake_role": f"SELECT {clean('ts_code')} AS ts_code, {clean('trade_date')} AS trade_date, open, close FROM daily WHERE asset_type IN ('stock', 'etf')",
         "lake_sql": f"SELECT b.ts_code, count(*) AS bars, any_value(n) AS reports FROM (SELECT {clean('ts_code')} AS ts_code, close FROM stock_daily) b JOIN (SELECT {clean('ts_code')} AS ts_code, count(*) AS n FROM income GROUP BY 1) i ON i.ts_code = b.ts_code WHERE close > 20 GROUP BY 1",
+        "lake_catalog": f"WITH m AS (SELECT {clean('ts_code')} AS ts_code, min({clean('list_date')}) AS list_date, max({clean('delist_date')}) AS delist_date FROM stock_basic WHERE {clean('ts_code')} IS NOT NULL GROUP BY 1), "
+        f"s AS (SELECT {clean('ts_code')} AS ts_code, min({clean('trade_date')}) AS first_seen, max({clean('trade_date')}) AS last_seen FROM stock_daily GROUP BY 1) "
+        "SELECT ts_code, row_number() OVER (ORDER BY ts_code) - 1 AS sid, 'stock' AS kind, list_date, delist_date, first_seen, last_seen FROM m LEFT JOIN s USING (ts_code)",
+        "bars_flagged": f"WITH {_LATEST} SELECT ts_code, strftime(d, '%Y%m%d') AS trade_date, CAST(coalesce(volume = 0, false) AS INT) AS suspended, CAST(coalesce(close < 10, false) AS INT) AS is_st FROM bars",
+        "research_months": _SNAPSHOTS + "SELECT index_code AS series, strftime(m, '%Y%m') AS month FROM (SELECT DISTINCT index_code FROM w) CROSS JOIN (SELECT unnest(generate_series(DATE '2022-01-01', DATE '2023-06-01', INTERVAL 1 MONTH)) AS m) WHERE (index_code, strftime(m, '%Y%m')) NOT IN (SELECT index_code, left(snapshot_date, 6) FROM w)",
         "asof_carry_in": f"WITH {_LATEST}, c AS (SELECT ts_code, strftime(d, '%Y%m%d') AS day, close FROM bars WHERE close > 0) SELECT ts_code, max(day) AS day, arg_max(close, day) AS close FROM c WHERE day < '20220901' GROUP BY 1 UNION ALL SELECT * FROM c WHERE day BETWEEN '20220901' AND '20220930'",
         "index_history": f"WITH b AS (SELECT upper(trim(ts_code)) AS asset, {day_sql('trade_date')} AS session, close, received_at, row_id FROM daily WHERE asset_type = 'index' AND ts_code IS NOT NULL), l AS (SELECT * FROM b WHERE session IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asset, session ORDER BY received_at DESC NULLS LAST, row_id DESC) = 1), "
         "c AS (SELECT DISTINCT cal_date AS session FROM trade_cal WHERE exchange = 'SSE' AND is_open = 1 AND cal_date BETWEEN '20220801' AND '20221031') SELECT a.asset, c.session, l.close FROM (SELECT DISTINCT asset FROM l) a CROSS JOIN c LEFT JOIN l ON l.asset = a.asset AND l.session = c.session",

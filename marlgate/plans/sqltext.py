@@ -76,10 +76,11 @@ def _window(term: Term, a: list[str]) -> str:
         }[p[0]]
     elif p[0] in ("skew", "kurt"):
         moment = lambda k: f"list_sum(list_transform(list({a[0]}) OVER {frame}, lambda e: pow(e - (avg({a[0]}) OVER {frame}), {k}))) / {n}"
+        even = f"(min({a[0]}) OVER {frame} = max({a[0]}) OVER {frame})"
         if p[0] == "skew":
-            made = f"({moment(3)}) / nullif(pow({moment(2)}, 1.5), 0) * {(n * (n - 1)) ** 0.5 / (n - 2)!r}" if n > 2 else "NULL"
+            made = f"CASE WHEN {even} THEN 0 ELSE ({moment(3)}) / nullif(pow({moment(2)}, 1.5), 0) * {(n * (n - 1)) ** 0.5 / (n - 2)!r} END" if n > 2 else "NULL"
         else:
-            made = f"((({moment(4)}) / nullif(pow({moment(2)}, 2), 0) - 3) * {n + 1} + 6) * {(n - 1) / ((n - 2) * (n - 3))!r}" if n > 3 else "NULL"
+            made = f"CASE WHEN {even} THEN -3 ELSE ((({moment(4)}) / nullif(pow({moment(2)}, 2), 0) - 3) * {n + 1} + 6) * {(n - 1) / ((n - 2) * (n - 3))!r} END" if n > 3 else "NULL"
     else:
         made = {"mean": "avg", "sum": "sum", "product": "product", "std": "stddev_samp", "var": "var_samp", "pstd": "stddev_pop", "max": "max", "min": "min", "median": "median"}[p[0]] + f"({a[0]}) OVER {frame}"
     return f"CASE WHEN {full} THEN {made} END"

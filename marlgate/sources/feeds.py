@@ -6,8 +6,10 @@ import importlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from marlgate.session import cut, exists, small
 from marlgate.sources.registry import Table, normalized
 
 
@@ -22,6 +24,30 @@ def staged_csv(spark: SparkSession, folder: str, spec: Table, buckets: int | Non
     return made.repartition(buckets, spec.key[0]) if buckets else made
 
 
+def stage_csv(df: DataFrame, folder: str, by: str) -> int:
+    """Write rows as CSV, a folder for each value of ``by``, with a ledger of rows and digests; how many values were written.
+
+    A run that is repeated, or resumed after it died, writes only values whose rows aren't in the ledger as they are. Nulls
+    form a value of their own. The ledger is written last, so a value is listed only when it is there whole.
+    """
+    spark = df.sparkSession
+    rows = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+    told = rows.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), 20)).alias("digest"))
+    ledger = f"{folder.rstrip('/')}/.ledger"
+    if exists(spark, ledger):
+        told = told.join(spark.read.parquet(ledger).withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left").select(by, told["rows"], told["digest"], (F.col("old_rows").eqNullSafe(told["rows"]) & F.col("old_digest").eqNullSafe(told["digest"])).alias("same"))
+    else:
+        told = told.withColumn("same", F.lit(False))
+    told = cut(told)
+    fresh = told.where(~F.col("same")).select(F.col(by).alias("_by"))
+    some = fresh.count()
+    if some:
+        rows.join(small(fresh), F.col(by).eqNullSafe(F.col("_by")), "left_semi").withColumn("_value", F.col(by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("_value").csv(folder)
+        listed = told.select(by, F.col("rows").alias("old_rows"), F.col("digest").alias("old_digest"))
+        listed.coalesce(1).write.mode("overwrite").parquet(ledger)
+    return some
+
+
 class PagedSource(DataSource):
     """``format("paged")``: rows of a service that delivers pages.
 

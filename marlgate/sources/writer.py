@@ -145,6 +145,11 @@ def signature(settings: dict) -> str:
     return hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def resumable(state: dict | None, settings: dict, now: float, hours: float = 24.0) -> bool:
+    """Whether an interrupted run, noted as ``{"signature", "started"}``, may go on: the same settings, and not too old."""
+    return bool(state) and state.get("signature") == signature(settings) and 0 <= now - state.get("started", float("-inf")) <= hours * 3600
+
+
 def stable_ids(old: DataFrame, codes: DataFrame, code: str = "ts_code", sid: str = "sid") -> DataFrame:
     """Codes keep their number; new codes get the following ones in code order."""
     fresh = codes.select(code).where(F.col(code).isNotNull()).distinct().join(old.select(code), code, "left_anti")

@@ -21,6 +21,7 @@ def wide():
     rng = np.random.default_rng(7)
     close = pd.DataFrame(100 * np.exp(rng.normal(0, 0.02, (ROWS, 4)).cumsum(axis=0)), columns=NAMES)
     close.iloc[20:23, 1] = np.nan
+    close.iloc[35:46, 2] = 50.1  # windows of equal values
     return {"close": close, "open": close.shift(1).fillna(close.iloc[0]), "volume": pd.DataFrame(rng.integers(1, 99, (ROWS, 4)).astype(float), columns=NAMES)}
 
 
