@@ -13,12 +13,13 @@ Defined results. Rows whose key can't be read are left out. A record counts as n
 load_id, then row_id) differs in the compared columns from what the last run saved; delivered again with equal values it
 doesn't come out. Two nulls are equal. Of a row repeated under one id with other values the greater ones count. A record that
 is gone comes out as removed. A run counts with the status it logged
-last (of lines logged at one instant: 'succeeded' only if all say so). An empty table gives no rows and a tree of a root.
+last (of lines logged at one instant: 'succeeded' only if all say so). An empty table gives no rows and an empty tree.
 A row without a load number belongs to no run. The number of leaves is bounded by days times ``buckets``, not by rows.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -26,6 +27,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlgate.functions.normalize import as_number, day_code, digits_of_number, market_code, trimmed
 from marlgate.session import passing, shared_dir, small
@@ -159,7 +161,10 @@ class Generations:
     def part(self, part: str, name: str | None = None) -> DataFrame | None:
         """``tree``, ``state`` or ``holders`` of a generation, by default the one in force."""
         name = name or self.current()
-        return self.spark.read.parquet(f"{self.folder}/{name}/{part}") if name else None
+        if not name:
+            return None
+        schema = T.StructType.fromJson(json.loads(self._text(f"{name}/.{part}.schema")))  # an empty part has no file to tell it
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/{part}")
 
     def begin(self) -> str:
         name = f"generation-{uuid.uuid4().hex}"
@@ -167,6 +172,7 @@ class Generations:
         return name
 
     def write(self, name: str, part: str, frame: DataFrame, *by: str) -> DataFrame:
+        self._put(f"{name}/.{part}.schema", frame.schema.json())
         frame.write.partitionBy(*by).parquet(f"{self.folder}/{name}/{part}")
         return self.part(part, name)
 
