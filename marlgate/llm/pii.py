@@ -9,7 +9,8 @@ public vocabulary spells a word are features that learnt weights judge.
 Defined results. A null or empty text has no findings and stays as it is. Headers and quoted text count; message ids, host
 names of relays and encoded text don't. A found text is as written, with each run of white space, ``>`` and ``|`` as one
 blank; a document names each text and kind once. No finding stays in a redacted text. Whole texts are searched, however long. Repeated rows give repeated
-findings only under different ids. Extra columns are left alone.
+findings only under different ids. Extra columns are left alone. A vocabulary that is missing or not whole on an executor
+stops the query.
 """
 
 from __future__ import annotations

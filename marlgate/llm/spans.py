@@ -89,18 +89,20 @@ COMPANY = frozenset("Partners Fund Funds Capital Asset Assets Holdings Group Ban
 # Given names that are common in English, German and French mail; a feature, no gate.
 COMMON_GIVEN = frozenset("James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Steven Paul Andrew Joshua Kenneth Kevin Brian George Edward Ronald Timothy Jason Jeffrey Ryan Jacob Eric Jonathan Stephen Scott Benjamin Samuel Gregory Frank Alexander Patrick Jack Peter Henry Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Margaret Sandra Ashley Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Helen Amy Anna Emma Olivia Sophie Julia Maria Rachel Catherine Alice Claire Stefan Hans Klaus Jürgen Wolfgang Andreas Christian Markus Martin Matthias Sebastian Tobias Florian Felix Lukas Jonas Karl Heinz Petra Sabine Monika Ursula Claudia Birgit Katharina Ingrid Heike Anke Greta Pierre Jean Jacques Michel Philippe Nicolas Laurent Julien François Antoine Luc Marie Sophie Camille Chloé Isabelle Nathalie Valérie Hélène Juliette Élise Carlos Luis Miguel Marco Giulia Priya Raj Ahmed Fatima Omar Ali Yuki Kenji Ivan Olga Natasha Erik Lars Ingmar".split())
 VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+PIECES = 50_256  # Fixed value: pieces of each of them, as published
 
 
 @lru_cache(maxsize=2)
 def word_ranks(paths: tuple[str, ...] = VOCABULARIES) -> list[dict[bytes, int]]:
-    """Ranks of public vocabularies: how soon a spelling was merged says how common it is. A missing file knows nothing."""
+    """Ranks of public vocabularies: how soon a spelling was merged says how common it is. One that can't be read whole is
+    an error: without it other words would pass for names."""
     out = []
     for path in paths:
-        try:
-            with open(path, "rb") as lines:
-                out.append({base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)})
-        except OSError:
-            continue
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(piece, validate=True): int(rank) for piece, rank in map(bytes.split, lines)}
+        if set(ranks.values()) != set(range(PIECES)):
+            raise ValueError(f"{path} isn't whole: {len(ranks)} pieces, not ranks 0 to {PIECES - 1}")
+        out.append(ranks)
     return out
 
 

@@ -227,6 +227,23 @@ def test_a_very_long_text_is_searched_whole():
     assert pii.findings(text, pii.training_lexicon(), pii.trained_field()) == [("phone", "020 7946 0555")]
 
 
+@pytest.mark.parametrize("damage", ["missing", "empty", "cut", "garbled"])
+def test_a_vocabulary_that_is_not_whole_is_an_error(monkeypatch, tmp_path, damage):
+    whole, bad, read = spans.VOCABULARIES[0], tmp_path / "bad.tiktoken", spans.word_ranks.__wrapped__
+    with open(whole, "rb") as file:
+        lines = file.readlines()
+    if damage != "missing":
+        bad.write_bytes(b"".join({"empty": [], "cut": lines[:40_000], "garbled": [*lines[:-1], b"!%s" % lines[-1]]}[damage]))
+    error = FileNotFoundError if damage == "missing" else ValueError
+    for paths in ((str(bad),), (whole, str(bad))):
+        with pytest.raises(error):
+            read(paths)
+    monkeypatch.setattr(spans, "word_ranks", lambda: read((whole, str(bad))))
+    spans.word_class.cache_clear()
+    with pytest.raises(error):  # before any text is searched
+        pii.trained_field.__wrapped__()
+
+
 # --- whole queries ------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("kind", ["empty", "nulls", "doubled", "clash"])
 def test_strained_tables(spark, data, tmp_path, kind):
