@@ -11,7 +11,7 @@ import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlgate.functions.normalize import free_name
@@ -110,6 +110,12 @@ def recover_table(spark: SparkSession, path: str) -> bool:
     return lost
 
 
+def _wrapped_sum(value: Column) -> Column:
+    """Sum of numbers of 44 bits modulo 2**64. Their halves are summed apart, which can't overflow below 2**41 rows."""
+    low, high = F.sum(value.bitwiseAND(0x3FFFFF)), F.sum(F.shiftrightunsigned(value, 22))
+    return F.shiftleft(high + F.shiftrightunsigned(low, 22), 22).bitwiseOR(low.bitwiseAND(0x3FFFFF))
+
+
 def manifest(spark: SparkSession, folder: str, names: Sequence[Table], content: bool = True, most_bytes: int = 1 << 28) -> DataFrame:
     """table_name, path, bytes, rows, digest (of all rows, in any order) and sha256 of every file of a generation.
 
@@ -121,7 +127,7 @@ def manifest(spark: SparkSession, folder: str, names: Sequence[Table], content:
         rows = spark.read.parquet(path)
         h = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
         told = rows.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(
-            F.count(F.lit(1)).alias("rows"), F.sum(F.shiftrightunsigned(h, 20)).alias("digest")
+            F.count(F.lit(1)).alias("rows"), _wrapped_sum(F.shiftrightunsigned(h, 20)).alias("digest")
         )
         if content:
             files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).where(F.col("length") <= most_bytes)

@@ -53,6 +53,20 @@ def test_manifest_counts_rows_and_sees_content(spark, data, tmp_path):
     assert told.join(writer.manifest(spark, str(tmp_path), [spec], most_bytes=0).where("sha256 is null"), ["path", "digest", "rows"]).count() == told.count()
 
 
+def test_manifest_of_a_file_of_over_a_million_rows(spark, tmp_path):
+    spec = registry.TABLES["stock_daily"]
+    digit = F.shiftrightunsigned(F.xxhash64("id"), 20).cast("decimal(20,0)")
+    for rows in (1000, 1_500_000):  # the larger one's digits sum to more than a long holds
+        frame = spark.range(0, rows, 1, 1)
+        frame.write.mode("overwrite").parquet(f"{tmp_path}/{spec.path}")
+        told = writer.manifest(spark, str(tmp_path), [spec]).collect()
+        total = int(frame.agg(F.sum(digit)).first()[0])
+        assert [r["rows"] for r in told] == [rows] and (total >= 1 << 63) == (rows > 1000)
+        assert told[0]["digest"] % (1 << 64) == total % (1 << 64)
+        if total < 1 << 63:
+            assert told[0]["digest"] == total  # what saved manifests hold
+
+
 def test_calendars_and_codes(spark):
     schema = "exchange string, cal_date string, is_open int, pretrade_date string"
     old, new = [("S", "20240102", 1, None), ("S", "20240103", 1, "20240102")], [("S", "20240103", 0, "20240102"), ("S", "20240104", 1, "20240102"), ("S", "20240105", 1, "20240104")]
